@@ -22,19 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make the package importable in Python workers that do not share the driver's path."""
+    """Make the package importable in Python workers, whatever their path (once a session)."""
     from pathlib import Path
 
-    root = Path(__file__).resolve().parent
-    try:
-        master = spark.sparkContext.master
-    except Exception:  # a remote session has no context; its server provides the package
+    root, context = Path(__file__).resolve().parent, spark.sparkContext
+    if getattr(context, "_skeinfeed_shipped", False):
         return
-    if master.startswith("local") or getattr(spark.sparkContext, "_skeinfeed_shipped", False):
-        return
-    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "skeinfeed"), "zip", root.parent, root.name)
-    spark.sparkContext.addPyFile(archive)
-    spark.sparkContext._skeinfeed_shipped = True
+    context._skeinfeed_shipped = True
+    folder = tempfile.mkdtemp(prefix="skeinfeed-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    context.addPyFile(shutil.make_archive(os.path.join(folder, "skeinfeed"), "zip", root.parent, root.name))
 
 
 def shared_dir(spark: SparkSession) -> str:
