@@ -1,8 +1,21 @@
-"""Text that went through a wrong character encoding: the chains, and their inverses on single runs."""
+"""Text that went through a wrong character encoding: its detection and, where nothing was lost, its restoration.
+
+Every distinct clean word of the corpus is garbled along every chain of encodings; the suspicious tokens of the documents
+are hash-joined against that table, and the clean original takes their place. Tokens whose original stands nowhere clean
+are decoded strictly, and count only if every letter they give stands in the corpus's clean text.
+"""
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from skeinfeed.session import written
 
 
 def _single_byte(codec: str) -> dict[int, str]:
@@ -16,57 +29,234 @@ def _single_byte(codec: str) -> dict[int, str]:
     return table
 
 
-# Single-byte code pages that text in UTF-8 is wrongly read as.
-PAGES = ("cp1252", "latin-1", "mac_roman", "cp1250", "cp1251", "cp437", "iso8859-15")
+# Single-byte code pages that text in UTF-8 is wrongly read as, in order of how common that is.
+PAGES = ("cp1252", "latin-1", "mac_roman", "cp1250", "cp1251", "cp437", "cp850", "iso8859-15")
 DECODE = {page: _single_byte(page) for page in PAGES}
-ENCODE = {page: {c: b for b, c in table.items()} for page, table in DECODE.items()}
+ENCODE = {page: {c: b for b, c in reversed(table.items())} for page, table in DECODE.items()}
 #: Each chain is the code pages a text was wrongly read as, one after the other.
-CHAINS: tuple[tuple[str, ...], ...] = (*((p,) for p in PAGES), ("cp1252", "cp1252"), ("latin-1", "latin-1"), ("latin-1", "cp1252"), ("cp1252", "latin-1"))
-#: Lead bytes of two to four byte UTF-8 sequences as each page shows them, in front of a character that shows a continuation byte.
-_FIRST = {page: "".join(re.escape(DECODE[page][b]) for b in range(0xC2, 0xF5)) for page in PAGES}
-_NEXT = {page: "".join(re.escape(DECODE[page][b]) for b in range(0x80, 0xC0)) for page in PAGES}
-RUNS = {page: re.compile(f"(?:[{_FIRST[page]}][{_NEXT[page]}]{{1,3}})+") for page in PAGES}
-REPLACEMENT = "�"
+CHAINS: tuple[tuple[str, ...], ...] = (*((p,) for p in PAGES), ("cp1252", "cp1252"), ("latin-1", "latin-1"), ("latin-1", "cp1252"), ("cp1252", "latin-1"), ("cp1252", "cp1252", "cp1252"))
+#: What takes the place of bytes that could not be decoded.
+LOST = "�"
+# Lead bytes of UTF-8 sequences that common scripts and typographic marks begin with.
+_TWO, _THREE = (*range(0xC2, 0xC6), 0xCE, 0xCF, 0xD0, 0xD1), (0xE0, 0xE1, 0xE2)
+
 
+def _run(page: str) -> str:
+    show = lambda codes: "".join(re.escape(DECODE[page][b]) for b in codes)
+    follow = show(range(0x80, 0xC0))
+    return f"(?:[{show(_TWO)}][{follow}]|[{show(_THREE)}][{follow}]{{2}})+"
 
-def garble(text: str, chain: tuple[str, ...]) -> str:
+
+RUNS = {page: re.compile(_run(page)) for page in PAGES}
+_ANY = re.compile("|".join(_run(p) for p in PAGES))
+_QUICK = re.compile(f"[{''.join(re.escape(DECODE[p][b]) for p in PAGES for b in (*_TWO, *_THREE))}]")
+
+
+def garble(text: str, chain: Iterable[str]) -> str:
     """`text` written in UTF-8 and read in each page of the chain."""
     for page in chain:
         table = DECODE[page]
-        text = "".join(table[b] for b in text.encode("utf-8", "surrogatepass"))
+        text = "".join(map(table.__getitem__, text.encode("utf-8", "surrogatepass")))
     return text
 
 
-def _back(run: str, page: str) -> str | None:
+#: Signs of garbling in a token: controls and signs of the upper half of Latin-1 but for quotation marks, symbols that no
+#: word holds, the euro sign within words, letters of two scripts side by side, and low quotes within a word.
+_BAD = re.compile(
+    r"[\x80-\x9f\xa0¤¦¨¬\xad¯´¶¸¹²³¼½¾×÷]|(?<=[ÂÃ])[«»¿¡ªº·]|(?<![\d ])[°ªº](?![\s.,]|$)|[¢£¥](?!\d)|[§©®±µ™](?=\w)|(?<=\w)[§©®±µ]|(?<=[^\W\d])€|(?<=\w)€(?=\W)"
+    r"|[Ѐ-ԯ](?=[A-Za-z\u0080-ɏ‐-⁠€])|(?<=[A-Za-zÀ-ɏ])[Ѐ-ԯ]|[Ͱ-Ͽ](?=[A-Za-z -ɏ])|(?<=[A-Za-zÀ-ɏ])[Ͱ-Ͽ]"
+    r"|(?<=\w)‚(?=\w)|‚Ä[^A-Za-z\s]|Ã[ƒœŸšžŒŠŽ‐-•]|Å[“”‘’„‚…]|[ÂÃâ][€‐-•]|à[°±¤¥]|[Ѐ-ԯ][‐-›]"
+    r"|[∀-⟿⤀-⯿ˆ˜†‡‰◊ﬁﬂ]|[ᄀ-ᇿ]|[0-9A-Za-zÀ-ɏ][҃-҉]"
+)
+
+
+def badness(token: str) -> int:
+    """How many signs of garbling a token bears; correct text in any script bears none."""
+    return 0 if token.isascii() else len(_BAD.findall(token))
+
+
+def _decoded(token: str, page: str) -> str:
     table = ENCODE[page]
-    try:
-        return bytes(table[c] for c in run).decode("utf-8")
-    except (KeyError, UnicodeDecodeError):
-        return None
 
+    def back(m: re.Match) -> str:
+        try:
+            return bytes([table[c] for c in m[0]]).decode("utf-8")
+        except (KeyError, UnicodeDecodeError):
+            return m[0]
 
-def _likely(text: str) -> bool:
-    """Whether what a run decodes to is printable text and no new garbling of another script."""
-    return all(c.isprintable() or c in "​‌‍­" for c in text)
+    return RUNS[page].sub(back, token)
 
 
-#: Any non-ASCII character that a garbled run can start with; texts without one need no look.
-HINT = re.compile("[ÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖ×ØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþ√¬ƒ≈∆«»∂ŒœгРСТĂĹŕâ‡§Γπα╨╤├┬]")
+def _mended(token: str) -> str:
+    """The token decoded in the pages that leave the fewest signs of garbling, as often as that lessens them."""
+    best, signs = token, badness(token)
+    for _ in range(3):
+        if not signs:
+            break
+        tried = [(badness(x), len(x), k, x) for k, page in enumerate(PAGES) if RUNS[page].search(best) and (x := _decoded(best, page)) != best]
+        # a first decoding of twofold garbling may leave as many signs in fewer characters
+        tried = [t for t in tried if t[0] < signs or (t[0] <= t[1] and t[1] * 3 <= len(best) * 2)]
+        if not tried:
+            break
+        signs, _, _, best = min(tried)
+    return best if signs < badness(token) else token
+
+
+_PARTS = re.compile(r"[^\x00- ]+")
 
 
 def ungarbled(text: str) -> str:
-    """`text` with every run that is strictly valid UTF-8 in the bytes of one page decoded; repeated for double garbling.
+    """`text` with every garbled token decoded, repeated garbling too.
 
-    A run counts only if it decodes wholly to printable text. Correct text in any script comes back unchanged: an
-    accented capital before a letter is no such run, as a continuation byte never shows as an ASCII or accented letter
-    in the pages tried first.
+    Correct text in any script with any accents comes back unchanged; so does what lost bytes.
     """
-    if text.isascii() or not HINT.search(text):
+    if text.isascii() or not _QUICK.search(text) or not _BAD.search(text):
         return text
-    for _ in range(3):
-        before = text
-        for page in PAGES[:3]:
-            text = RUNS[page].sub(lambda m, p=page: back if (back := _back(m[0], p)) is not None and _likely(back) else m[0], text)
-        if text == before:
-            break
-    return text
+    return _PARTS.sub(lambda m: _mended(m[0]) if not m[0].isascii() and _QUICK.search(m[0]) else m[0], text)
+
+
+#: Beginnings of sequences of which bytes were lost, as the common pages show them.
+_BROKEN = re.compile("à[°±¤¥]|â€|вЂ|‡[∞±§•]")
+
+
+def lost_bytes(token: str) -> bool:
+    return LOST in token or _BROKEN.search(token) is not None
+
+
+def suspicious(token: str) -> bool:
+    """Whether a token bears signs of garbling and holds a run that some page shows for UTF-8, or lost bytes."""
+    return lost_bytes(token) or (_QUICK.search(token) is not None and badness(token) > 0 and _ANY.search(token) is not None)
+
+
+_ESCAPE = re.compile(r"\\u([0-9a-fA-F]{4})")
+
+
+def json_text(data: str) -> str:
+    """The texts within JSON, escapes resolved; of broken JSON what stands there, with \\uXXXX resolved."""
+    try:
+        value = json.loads(data)
+    except ValueError:
+        return _ESCAPE.sub(lambda m: chr(int(m[1], 16)), data).encode("utf-16", "surrogatepass").decode("utf-16", "replace") if "\\u" in data else data
+    texts, rest = [], [value]
+    while rest:
+        x = rest.pop()
+        rest.extend(x.values() if isinstance(x, dict) else x if isinstance(x, list) else ())
+        if isinstance(x, str):
+            texts.append(x)
+    return "\n".join(texts)
+
+
+_SPLIT = re.compile(r"[\x00- ]+")
+_EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def tokens_of(text: str) -> list[str]:
+    """Tokens parted by ASCII blanks (others may be garbling), without ASCII punctuation at the ends, with a non-ASCII character."""
+    return [t for x in _SPLIT.split(text) if not x.isascii() and (t := x.strip(_EDGE))]
+
+
+_SEEN = pa.schema([("clean", pa.bool_()), ("table_name", pa.string()), ("row_key", pa.int64()), ("field_name", pa.string()), ("token", pa.string())])
+
+
+def _words(fields: DataFrame) -> DataFrame:
+    """Clean words (once a batch) and suspicious tokens with their field."""
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[str] = set()
+        judged: dict[str, bool] = {}
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(4)]
+            out: list[tuple] = []
+            for table, key, field, text in zip(*columns):
+                if text.isascii() and "\\u" not in text:
+                    continue
+                if field == "data":
+                    text = json_text(text)
+                for token in set(tokens_of(text)):
+                    bad = judged.get(token)
+                    if bad is None:
+                        bad = judged[token] = suspicious(token)
+                    if bad:
+                        out.append((False, table, key, field, token))
+                    elif token not in known:
+                        known.add(token)
+                        out.append((True, None, None, None, token))
+                if len(judged) > 500_000:
+                    judged.clear(), known.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, _SEEN.types)], schema=_SEEN)
+
+    return fields.mapInArrow(seen, "clean boolean, table_name string, row_key bigint, field_name string, token string")
+
+
+def _garbled_forms(clean: DataFrame) -> DataFrame:
+    def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [(g, w, len(c)) for w in batch.column(0).to_pylist() for c in CHAINS if (g := garble(w, c)) != w]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32()))], ["token", "original", "steps"])
+
+    return clean.mapInArrow(forms, "token string, original string, steps int")
+
+
+def _decoded_tokens(tokens: DataFrame, letters: frozenset[str]) -> DataFrame:
+    """Strictly decoded tokens whose every non-ASCII character is one of `letters`."""
+    share = tokens.sparkSession.sparkContext.broadcast(letters)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known, out = share.value, []
+            for token in batch.column(0).to_pylist():
+                back = ungarbled(token)
+                lost = lost_bytes(token) if back == token else lost_bytes(back)
+                fits = back != token and all(c.isascii() or c in known or c == LOST or c in token for c in back)
+                if fits or lost:
+                    out.append((token, back if fits and not lost else None))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.string()) for i in range(2)], ["token", "original"])
+
+    return tokens.mapInArrow(decode, "token string, original string")
+
+
+def garbled_tokens(fields: DataFrame) -> DataFrame:
+    """(table_name, row_key, field_name, token, original) of each garbled token of `fields`.
+
+    `fields` has table_name, row_key, field_name and text; null and empty texts give nothing. `original` is null where
+    bytes were lost. A word that several chains explain takes the one of fewest steps, then the smallest original.
+    """
+    spark = fields.sparkSession
+    words = written(spark, _words(fields.filter(F.col("text").isNotNull() & (F.col("text") != "")).select("table_name", F.col("row_key").cast("bigint"), "field_name", "text")), "garbled-words")
+    clean = words.filter("clean").select("token").distinct()
+    tokens = words.filter("not clean").select("token").distinct()
+    table = _garbled_forms(clean).join(tokens, "token", "left_semi").groupBy("token").agg(F.min(F.struct("steps", "original")).alias("best")).select("token", "best.original")
+    table = written(spark, table, "garbled-table")
+    # the alphabet of the clean text: bounded by the characters of Unicode
+    letters = frozenset(r[0] for r in clean.select(F.explode(F.split("token", "")).alias("c")).filter(F.col("c") > "\x7f").distinct().toLocalIterator())
+    rest = _decoded_tokens(tokens.join(table, "token", "left_anti"), letters)
+    return words.filter("not clean").select("table_name", "row_key", "field_name", "token").join(table.unionByName(rest), "token")
+
+
+def garbled_fields(fields: DataFrame) -> DataFrame:
+    """The distinct (table_name, row_key, field_name) of fields that hold garbled text, restorable or not."""
+    return garbled_tokens(fields).select("table_name", "row_key", "field_name").distinct()
+
+
+def restored_fields(fields: DataFrame) -> DataFrame:
+    """`fields` with the column `restored`: the text with every garbled token replaced by its original; lost bytes stay."""
+
+    def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, pairs in zip(batch.column("text").to_pylist(), batch.column("_pairs").to_pylist()):
+                for token, original in sorted(pairs or (), key=lambda p: -len(p[0])):
+                    text = text.replace(token, original)
+                out.append(text)
+            kept = batch.select([n for n in batch.schema.names if n != "_pairs"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.string())], names=[*kept.schema.names, "restored"])
+
+    pairs = garbled_tokens(fields).filter(F.col("original").isNotNull()).groupBy("table_name", "row_key", "field_name").agg(F.collect_set(F.array("token", "original")).alias("_pairs"))
+    named = fields.select("table_name", F.col("row_key").cast("bigint").alias("row_key"), "field_name", "text")
+    return named.join(pairs, ["table_name", "row_key", "field_name"], "left").mapInArrow(restore, "table_name string, row_key bigint, field_name string, text string, restored string")
+
+
+def text_fields(rows: DataFrame, table_name: str, key: str, fields: list[str]) -> DataFrame:
+    """(table_name, row_key, field_name, text): one row for each of the `fields` of each row."""
+    each = [F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("text")) for f in fields]
+    return rows.select(F.lit(table_name).alias("table_name"), F.col(key).cast("bigint").alias("row_key"), F.explode(F.array(*each)).alias("f")).select("table_name", "row_key", "f.*")
