@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 #: A catalogue with more attributes than this is refused: its registers would not be small.
 MAX_ATTRIBUTES = 5_000
+#: Entities whose registers one reducing task merges.
+ENTITIES_PER_TASK = 200_000
 
 # Words that state a truth value.
 TRUE_WORDS = ("true", "yes", "on", "1", "y", "t")
@@ -123,6 +125,9 @@ def wide_table(rows: DataFrame, catalogue: DataFrame, entity: str = "username",
         rows.select(stripped(F.col(entity)).alias("e"), by_key[plain_key(F.col(attribute))].alias("slot"), F.col(value).cast("string").alias("v"), F.unix_micros(F.col(saved_at).cast("timestamp")).alias("at"))
         .filter((F.col("e") != "") & F.col("slot").isNotNull())
     )
+    # as many reducers as keep a task's registers few, however small the session's setting is
+    entities = cells.agg(F.approx_count_distinct("e")).first()[0]
+    reducers = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-entities // ENTITIES_PER_TASK))
     never = -(2**63)
 
     def read(part: Iterable) -> Iterator:
@@ -143,7 +148,7 @@ def wide_table(rows: DataFrame, catalogue: DataFrame, entity: str = "username",
 
     merged = cells.rdd.mapPartitions(read).combineByKey(
         lambda cell: put([None] * width, cell), put, lambda a, b: [later(x, y) for x, y in zip(a, b)],
-        numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions")),
+        numPartitions=reducers,
     )
     return spark.createDataFrame(merged.map(lambda kv: (kv[0], *(None if c is None else c[2] for c in kv[1]))), schema, verifySchema=False)
 
