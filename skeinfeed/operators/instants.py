@@ -76,63 +76,74 @@ def days_from_civil(y: Column, m: Column, d: Column) -> Column:
     return era * 146097 + of_era * 365 + F.floor(of_era / 4) - F.floor(of_era / 100) + of_year - 719468
 
 
-def instant_micros(text: Column, home_zone: Column, date_order: Column) -> Column:
-    """Microseconds since 1970-01-01 UTC that `text` fixes, or null.
-
-    Without zone the time is wall time in `home_zone` (null: no result); of an hour that occurs twice the first pass,
-    a skipped wall time with the offset before the change. Null, empty and very long texts, days without a time,
-    impossible dates and relative words give null.
-    """
-    pattern, replacement = _compiled()
-    tidy = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    parts = F.split(F.regexp_replace(F.when(F.length(tidy) <= 100, tidy), pattern, replacement), _MARK)
-    return F.transform(F.array(parts), lambda p: _assemble(p, home_zone, date_order))[0]
+def _regions() -> Column:
+    return F.create_map(*(F.lit(x) for kv in _case_regions().items() for x in kv))
 
 
-def _assemble(p: Column, home_zone: Column, date_order: Column) -> Column:
-    at = {name: F.nullif(F.get(p, F.lit(i + 1)), F.lit("")) for i, name in enumerate(PARTS)}
+def _with_instant(rows: DataFrame, text: str, out: str) -> DataFrame:
+    """`rows` (with _home_zone, _home_place and _date_order) with `out`; one step of columns builds on the one before."""
+    pattern, replacement = _compiled()
+    tidy = F.regexp_replace(F.col(text), r"(?U)^\s+|\s+$", "")
+    rows = rows.withColumn("_parts", F.split(F.regexp_replace(F.when(F.length(tidy) <= 100, tidy), pattern, replacement), _MARK))
+    rows = rows.withColumn("_at", F.when(F.size("_parts") == len(PARTS) + 1, F.transform("_parts", lambda x: F.nullif(x, F.lit("")))))
+    at = {name: F.get("_at", F.lit(i + 1)) for i, name in enumerate(PARTS)}
     number = lambda c: c.try_cast("bigint")
-    us = F.lower(F.coalesce(date_order, F.lit("dmy"))) == "mdy"
-    month_word = F.create_map(*(x for i, m in enumerate(MONTHS) for x in (F.lit(m), F.lit(i + 1))))
+    us = F.lower(F.coalesce("_date_order", F.lit("dmy"))) == "mdy"
+    month_word = F.create_map(*(x for i, m in enumerate(MONTHS) for x in (F.lit(m), F.lit(i + 1).cast("bigint"))))
     one, two = number(at["one"]), number(at["two"])
-    year = number(at["year"])
-    month = F.coalesce(number(at["month"]), month_word[F.lower(at["month"])].cast("bigint"), F.when(us, one).otherwise(two))
-    day = F.coalesce(number(at["day"]), F.when(us, two).otherwise(one))
-    hour12, minute, second = number(at["hour"]), number(at["minute"]), F.coalesce(number(at["second"]), F.lit(0))
-    half = F.lower(F.substring(at["half"], 1, 1))
-    hour = F.when(half.isNull(), hour12).when(hour12.between(1, 12), hour12 % 12 + F.when(half == "p", 12).otherwise(0))
-    micros = number(F.substring(F.rpad(F.coalesce(at["fraction"], F.lit("")), 9, "0"), 1, 6))
+    rows = rows.withColumns({
+        "_year": number(at["year"]),
+        "_month": F.coalesce(number(at["month"]), month_word[F.lower(at["month"])], F.when(us, one).otherwise(two)),
+        "_day": F.coalesce(number(at["day"]), F.when(us, two).otherwise(one)),
+        "_clock": number(at["hour"]),
+        "_minute": number(at["minute"]),
+        "_second": F.coalesce(number(at["second"]), F.lit(0).cast("bigint")),
+        "_micros": number(F.substring(F.rpad(F.coalesce(at["fraction"], F.lit("")), 9, "0"), 1, 6)),
+        "_half": F.lower(F.substring(at["half"], 1, 1)),
+        "_zone": F.lower(at["zone"]),
+        "_region": at["region"],
+        "_epoch": at["epoch"],
+    })
+    year, month, day, half, zone = (F.col(c) for c in ("_year", "_month", "_day", "_half", "_zone"))
+    clock = F.col("_clock")
+    hour = F.when(half.isNull(), clock).when(clock.between(1, 12), clock % 12 + F.when(half == "p", 12).otherwise(0))
     leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
-    month_days = F.element_at(F.array(*(F.lit(x) for x in (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31))), month.cast("int")) + F.when(leap & (month == 2), 1).otherwise(0)
-    valid = (year >= 1) & month.between(1, 12) & (day >= 1) & (hour <= 23) & (minute <= 59) & (second <= 59)
-    local = F.when(valid & (day <= F.when(month.between(1, 12), month_days)), ((days_from_civil(year, month, day) * 86400 + hour * 3600 + minute * 60 + second) * 1_000_000 + micros).cast("bigint"))
-
-    zone = F.lower(at["zone"])
+    month_days = F.get(F.array(*(F.lit(x) for x in (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31))), (month - 1).cast("int")) + F.when(leap & (month == 2), 1).otherwise(0)
+    valid = (year >= 1) & month.between(1, 12) & (day >= 1) & (hour <= 23) & (F.col("_minute") <= 59) & (F.col("_second") <= 59)
+    rows = rows.withColumn("_valid", valid & F.when(valid, day <= month_days)).withColumn("_hour", hour)
+    local = (days_from_civil(year, month, day) * 86400 + F.col("_hour") * 3600 + F.col("_minute") * 60 + F.col("_second")) * 1_000_000 + F.col("_micros")
     digits = F.regexp_replace(zone, r"[^0-9]", "")
     sign = F.when(F.contains(zone, F.lit("-")), -1).otherwise(1)
-    shift = F.when(zone.rlike("[+-]"), sign * (number(F.substring(F.when(F.length(digits) % 2 == 1, F.concat(F.lit("0"), digits)).otherwise(digits), 1, 2)) * 60 + F.coalesce(number(F.substring(digits, -2, 2)).cast("bigint") * F.when(F.length(digits) >= 3, 1).otherwise(0), F.lit(0))))
-    shift = F.when(shift.between(-18 * 60, 18 * 60), shift)
-    word = F.create_map(*(x for k, v in ABBREVIATIONS.items() for x in (F.lit(k), F.lit(v))))
-    named = word[zone]
+    hours = number(F.when(F.length(digits) % 2 == 1, F.substring(digits, 1, 1)).otherwise(F.substring(digits, 1, 2)))
+    minutes = F.when(F.length(digits) >= 3, number(F.substring(digits, -2, 2))).otherwise(0)
+    shift = sign * (hours * 60 + minutes)
+    table_of = lambda words: F.create_map(*(x for k, v in words.items() for x in (F.lit(k), F.lit(v).cast("bigint"))))
+    named = table_of(ABBREVIATIONS)[zone]
     for start, own in LOCAL_ABBREVIATIONS.items():
-        table = F.create_map(*(x for k, v in own.items() for x in (F.lit(k), F.lit(v))))
-        named = F.when(home_zone.startswith(start), F.coalesce(table[zone], named)).otherwise(named)
-    offset = F.coalesce(shift, named.cast("bigint"))
-    regions = F.create_map(*(F.lit(x) for kv in _case_regions().items() for x in kv))
-    place = F.when(at["region"].isNotNull(), regions[F.lower(at["region"])]).when(zone.isNull(), regions[F.lower(home_zone)])
-    by_zone = F.when(place.isNotNull() & local.isNotNull(), F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), place)))
-    epoch = number(at["epoch"])
-    from_epoch = F.when(F.length(at["epoch"]) <= 11, epoch * 1_000_000).otherwise(epoch * 1000)
-    return F.when(at["epoch"].isNotNull(), from_epoch).when(zone.isNotNull(), local - offset * 60_000_000).otherwise(by_zone)
+        named = F.when(F.col("_home_zone").startswith(start), F.coalesce(table_of(own)[zone], named)).otherwise(named)
+    rows = rows.withColumns({
+        "_local": F.when(F.col("_valid"), local.cast("bigint")),
+        "_offset": F.when(zone.rlike("[+-]"), F.when(shift.between(-18 * 60, 18 * 60), shift)).when(zone.isNotNull(), named),
+        "_place": F.when(F.col("_region").isNotNull(), _regions()[F.lower("_region")]).when(zone.isNull(), F.col("_home_place")),
+    })
+    by_zone = F.when(F.col("_place").isNotNull() & F.col("_local").isNotNull(), F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("_local"), F.col("_place"))))
+    epoch = number(F.col("_epoch"))
+    from_epoch = F.when(F.length("_epoch") <= 11, epoch * 1_000_000).otherwise(epoch * 1000)
+    instant = F.when(F.col("_epoch").isNotNull(), from_epoch).when(zone.isNotNull(), F.col("_local") - F.col("_offset") * 60_000_000).otherwise(by_zone)
+    gone = ["_parts", "_at", "_year", "_month", "_day", "_clock", "_minute", "_second", "_micros", "_half", "_zone", "_region", "_epoch", "_valid", "_hour", "_local", "_offset", "_place"]
+    return rows.withColumn(out, instant).drop(*gone)
 
 
 def normalised_instants(rows: DataFrame, sources: DataFrame, text: str = "published_at", source: str = "source", out: str = "epoch_us") -> DataFrame:
-    """`rows` with the column `out`: the instant each `text` fixes, with zone and date order of its source.
+    """`rows` with the column `out`: microseconds since 1970-01-01 UTC of the instant that each `text` fixes, or null.
 
-    Sources compare without case and outer blanks; a source listed twice counts once. Columns of `rows` keep their
-    names and values, an old column named `out` is replaced.
+    Without zone the time is wall time in the home zone of its source (source null, unlisted or without a known zone: no
+    result); of an hour that occurs twice the first pass, a skipped wall time with the offset before the change. Null,
+    empty and very long texts, days without a time, impossible dates and relative words give null. Sources compare
+    without case and outer blanks; a source listed twice counts once. Columns of `rows` keep names and values, an old
+    column named `out` is replaced; names beginning with an underscore are kept for the operator's steps.
     """
     plain = lambda c: F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
-    homes = sources.select(plain(F.col("source")).alias("_home_key"), F.col("home_zone").alias("_home_zone"), F.col("date_order").alias("_date_order")).filter("_home_key is not null").dropDuplicates(["_home_key"])
+    homes = sources.select(plain(F.col("source")).alias("_home_key"), F.col("home_zone").alias("_home_zone"), _regions()[F.lower("home_zone")].alias("_home_place"), F.col("date_order").alias("_date_order")).filter("_home_key is not null").dropDuplicates(["_home_key"])
     joined = rows.withColumn("_source_key", plain(F.col(source))).join(small(homes), F.col("_source_key") == F.col("_home_key"), "left")
-    return joined.withColumn(out, instant_micros(F.col(text), F.col("_home_zone"), F.col("_date_order"))).drop("_source_key", "_home_key", "_home_zone", "_date_order")
+    return _with_instant(joined, text, out).drop("_source_key", "_home_key", "_home_zone", "_home_place", "_date_order")
