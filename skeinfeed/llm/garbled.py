@@ -7,6 +7,7 @@ are decoded strictly, and count only if every letter they give stands in the cor
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -87,6 +88,7 @@ def _decoded(token: str, page: str) -> str:
     return RUNS[page].sub(back, token)
 
 
+@functools.lru_cache(maxsize=100_000)
 def _mended(token: str) -> str:
     """The token decoded in the pages that leave the fewest signs of garbling, as often as that lessens them."""
     best, signs = token, badness(token)

@@ -6,6 +6,7 @@ their kind by themselves; undecided lines are settled by the operators from what
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -60,6 +61,8 @@ _MENU_WORDS = re.compile(r"home|start|inicio|accueil|होम|होम पे
 ENDS = re.compile(r"[.!?।॥…][\"'”“’»›)\]]*$")
 _QUOTED = re.compile(r"[\"“„«‘]")
 _FIGURES = re.compile(r"\d")
+_ENTRIES = re.compile(r"\s*[|;]\s*|,\s+")
+_MENU_PARTS = re.compile(r"\s*[|·•]\s*|\s{2,}|\t")
 
 
 def tidy(line: str) -> str:
@@ -69,12 +72,17 @@ def tidy(line: str) -> str:
 
 def is_figures(line: str) -> bool:
     """A list of figures of the story: entries parted by bars or commas, most of them with a number."""
-    entries = [e for e in re.split(r"\s*[|;]\s*|,\s+", line) if e]
+    if "|" not in line and "," not in line and ";" not in line:
+        return False
+    entries = [e for e in _ENTRIES.split(line) if e]
     return len(entries) >= 2 and sum(bool(_FIGURES.search(e)) for e in entries) * 2 > len(entries)
 
 
 def is_menu(raw: str) -> bool:
-    entries = [e.strip() for e in re.split(r"\s*[|·•]\s*|\s{2,}|\t", raw.strip()) if e.strip()]
+    raw = raw.strip()
+    if not ("|" in raw or "  " in raw or "·" in raw or "•" in raw or "\t" in raw):
+        return False
+    entries = [e.strip() for e in _MENU_PARTS.split(raw) if e.strip()]
     return len(entries) >= 2 and sum(bool(_MENU_WORDS.fullmatch(e)) for e in entries) * 2 >= len(entries) or (raw.count("|") >= 2 and not is_figures(raw) and not ENDS.search(raw) and len(raw) < 200)
 
 
@@ -102,16 +110,25 @@ def furniture(line: str) -> bool | None:
 
     Digits may be masked as 0. Blank lines give None; lines of any length are looked at whole.
     """
-    text = tidy(line)
+    return kind_of(ungarbled(line))
+
+
+def kind_of(line: str) -> bool | None:
+    """What furniture() says of a line without garbling."""
+    return _kind_of_short(line) if len(line) <= 90 else _kind_of(line)
+
+
+def _kind_of(line: str) -> bool | None:
+    text = unicodedata.normalize("NFC", " ".join(line.split()))
     if not text:
         return None
-    ended = ENDS.search(text) is not None
+    ended = ENDS.search(text[-12:]) is not None
     if ended and _QUOTED.match(text):
         return False  # speech
     if _has_phrase(text):
         return len(text) <= 500 or not ended
     if len(text) <= 220:
-        if is_menu(line if line.isascii() else ungarbled(line)):
+        if is_menu(line):
             return True
         if not (ended and len(text) > 130) and _LINE.fullmatch(text):
             return True
@@ -119,27 +136,31 @@ def furniture(line: str) -> bool | None:
             return not (ended and is_figures(text))
         if is_figures(text):
             return False
-        if not ended and _CRUMBS.fullmatch(text):
+        if not ended and (">" in text or "›" in text or "»" in text or "/" in text) and _CRUMBS.fullmatch(text):
             return True
     return False if ended else None
 
 
+#: Short lines come back: what was found out about the latest is kept.
+_kind_of_short = functools.lru_cache(maxsize=100_000)(_kind_of)
+
+
 #: Marks that feeds put where they cut a text.
 CUT_MARK = re.compile(r"(?:\s*\[\s*\+?\s*(?:\d+\s*\w*|…|\.\.\.)\s*\]|\s*(?:\(\s*)?(?:read more|continue reading|weiterlesen|lire la suite|leer más|seguir leyendo|ఇంకా చదవండి|और पढ़ें)\s*\)?[.…»>]*)\s*$", re.I)
-_DOTS = re.compile(r"\s*(?:…|\.\.\.)\s*$")
 _INNER_END = re.compile(r"[.!?।][\"'”“’»)]*\s+\S")
 
 
 def without_mark(text: str) -> tuple[str, bool]:
-    """The text before marks of a cut, and whether it bore one."""
-    bare = _DOTS.sub("", CUT_MARK.sub("", text))
-    return bare, bare != text.rstrip()
-
-
-def unfinished(text: str) -> bool:
-    """Whether a story text stops inside a word or sentence: no closing mark before what marks the cut."""
-    bare, _ = without_mark(text.rstrip())
-    return bool(bare) and not ENDS.search(bare)
+    """The text before marks of a cut, and whether it bore one; outer blanks at the end are not kept."""
+    text = text.rstrip()
+    bare = text
+    if (m := CUT_MARK.search(bare, max(0, len(bare) - 60))) is not None:
+        bare = bare[: m.start()].rstrip()
+    if bare.endswith("…"):
+        bare = bare[:-1].rstrip()
+    elif bare.endswith("..."):
+        bare = bare[:-3].rstrip()
+    return bare, bare != text
 
 
 def runs_on(text: str) -> bool:
