@@ -8,15 +8,17 @@ unless it is a headline: that is decided by what the row's own title and the end
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skeinfeed.llm.garbled import ungarbled
 from skeinfeed.llm.page_body import _NAME, line_tokens
-from skeinfeed.llm.page_lines import CUT_MARK, ENDS, furniture, is_figures, runs_on, tidy, without_mark
+from skeinfeed.llm.page_lines import ENDS, is_figures, kind_of, runs_on, tidy, without_mark
 from skeinfeed.session import small, written
 
 #: A length is a limit if at least so many unended values have it and at least this share of the unended values that are as long or up to a tenth shorter.
@@ -38,36 +40,37 @@ def tail_of(text: str) -> str | None:
     return " ".join(tokens[-2:] if tokens[-1] != _NAME else [*tokens[:2], "..", *tokens[-2:]])
 
 
-def story_lines(text: str) -> list[tuple[str, bool | None]]:
-    """(line, kind) of the non-blank lines that are not page furniture; kind None where a line is undecided.
+def story_lines(text: str) -> list[tuple[str, bool | None, str]]:
+    """(tidied line, kind, line) of the non-blank lines that are not page furniture; kind None where a line is undecided.
 
     An undecided line in front of a line that is surely the story's is a link, as stories are cut only at their end.
     """
     kept = []
-    for line in text.split("\n"):
-        if line.strip() and not (kind := furniture(line)):
-            kept.append((line, kind))
-    sure = max((k for k, (_, kind) in enumerate(kept) if kind is False), default=-1)
+    for line in ungarbled(text).split("\n"):
+        if line and not line.isspace() and not (kind := kind_of(line)):
+            kept.append((" ".join(line.split()), kind, line))
+    if all(kind is False for _, kind, _ in kept):
+        return kept
+    sure = max((k for k, x in enumerate(kept) if x[1] is False), default=-1)
     return [x for k, x in enumerate(kept) if x[1] is False or k > sure or runs_on(x[0])]
 
 
 def judge_value(text: str, title: str | None, whole_page: bool, source: str = "") -> tuple[str, str, str | None]:
     """(state, story, tail): how a value ends, its story text, and the end of a line that may be a headline."""
-    lines = story_lines(text) if whole_page or "\n" in text else [(text, None)]
+    lines = story_lines(text) if whole_page or "\n" in text else [(" ".join(ungarbled(text).split()), None, text)]
     if not lines:
         return ENDED, "", None
-    sure = [k for k, (_, kind) in enumerate(lines) if kind is False]
-    run = [k for k, (line, kind) in enumerate(lines) if kind is None and runs_on(tidy(line))]
+    sure = [k for k, x in enumerate(lines) if x[1] is False]
+    run = [] if len(sure) == len(lines) else [k for k, x in enumerate(lines) if x[1] is None and runs_on(x[0])]
     if run:
         at = run[-1]
     elif sure:
         at = min(sure[-1] + 1, len(lines) - 1)  # an undecided line right behind the story, or its last line
     else:
         at = 0
-    line, story = lines[at][0], "\n".join(x for x, _ in lines[: at + 1]).strip()
-    last = tidy(line)
+    last, story = lines[at][0], "\n".join(x for _, _, x in lines[: at + 1]).strip()
     bare, marked = without_mark(last)
-    story = without_mark(CUT_MARK.sub("", story))[0] if marked else story
+    story = without_mark(story)[0] if marked else story
     if not bare:
         return ENDED, story, None
     if ENDS.search(bare) and not (bare.endswith(("…", "...")) and not marked):
@@ -121,9 +124,13 @@ def field_limits(states: DataFrame) -> DataFrame:
     """(_source, field_name, unit, length, n): spikes at the upper end of the length histograms of unended values."""
     unended = states.filter(F.col("state") != ENDED)
     bins = unended.select("_source", "field_name", F.explode(F.array(*(F.struct(F.lit(u).alias("unit"), F.col(u).alias("length")) for u in ("chars", "bytes")))).alias("b")).groupBy("_source", "field_name", "b.unit", "b.length").agg(F.count("*").alias("n"))
-    most = bins.groupBy("_source", "field_name", "unit").agg(F.sort_array(F.collect_list(F.struct("length", "n"))).alias("bins"))
-    # of each bin, the share among the values from nine tenths of its length up to it
-    spikes = most.select("_source", "field_name", "unit", F.explode(F.transform("bins", lambda b: F.struct(b["length"].alias("length"), b["n"].alias("n"), F.aggregate("bins", F.lit(0).cast("bigint"), lambda a, c: a + F.when((c["length"] <= b["length"]) & (c["length"] * 10 >= b["length"] * 9), c["n"]).otherwise(0)).alias("near"), F.aggregate("bins", F.lit(0).cast("bigint"), lambda a, c: a + F.when(c["length"] > b["length"], c["n"]).otherwise(0)).alias("beyond")))).alias("b")).select("_source", "field_name", "unit", "b.*")
+    group = Window.partitionBy("_source", "field_name", "unit")
+    # on a logarithmic scale the lengths from nine tenths up to a length are a range of fixed width
+    scale = F.round(F.log(F.col("length").cast("double")) / math.log(10 / 9) * 1_000_000).cast("bigint")
+    spikes = bins.filter("length > 0").withColumn("_at", scale).withColumns({
+        "near": F.sum("n").over(group.orderBy("_at").rangeBetween(-1_000_000, 0)),
+        "beyond": F.coalesce(F.sum("n").over(group.orderBy("length").rowsBetween(1, Window.unboundedFollowing)), F.lit(0)),
+    }).drop("_at")
     return spikes.filter((F.col("n") >= SPIKE_VALUES) & (F.col("n") >= SPIKE_SHARE * F.col("near")) & (F.col("beyond") <= F.col("n"))).drop("near", "beyond")
 
 
@@ -135,7 +142,7 @@ def truncated_values(rows: DataFrame, key: str = "row_id", source: str = "source
     judged together; repeated rows are judged alike; long texts are read whole; other columns are ignored.
     """
     states = written(rows.sparkSession, value_states(rows, key, source, title, fields, pages), "value-states")
-    limits = field_limits(states)
+    limits = written(rows.sparkSession, field_limits(states), "field-limits")
     marked = states
     for unit in ("chars", "bytes"):
         at = limits.filter(F.col("unit") == unit).select("_source", "field_name", F.col("length").alias(unit), F.lit(True).alias(f"_at_{unit}"))
