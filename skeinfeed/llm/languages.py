@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinfeed.llm.page_lines import runs_on, tidy, without_mark
+from skeinfeed.llm.page_lines import is_figures, runs_on, without_mark
 from skeinfeed.llm.truncation import story_lines
 
 #: Rows of each stated language that the trees are built from: a bounded sample, chosen by hash.
@@ -42,12 +42,12 @@ def stated_language(label: str | None) -> str | None:
 
 
 def sentences_of(text: str) -> list[str]:
-    """Sentences of the story text of a page; marks of a cut are taken off."""
+    """Sentences of the story text of a page; marks of a cut are taken off, lists of figures left out."""
     lines = story_lines(text)
-    sure = [line for line, kind in lines if kind is False or runs_on(tidy(line))]
+    sure = [line for line, kind, _ in lines if kind is False or runs_on(line)]
     if not sure:
         sure = [lines[0][0]] if len(lines) == 1 and "\n" not in text.strip() else []
-    return [s for line in sure for s in _SENTENCE.split(without_mark(tidy(line))[0]) if s.strip()]
+    return [s for line in sure if len(line) > 200 or not is_figures(line) for s in _SENTENCE.split(without_mark(line)[0]) if s]
 
 
 def words_of(sentence: str) -> list[str]:
@@ -145,34 +145,56 @@ class Trees:
         return out
 
 
+def _latin(words: list[str]) -> bool:
+    """Whether most words of a sentence are written in Latin letters."""
+    return sum(w[0] < "\u0250" for w in words) * 10 >= len(words) * 7
+
+
 def trained_trees(rows: DataFrame, key: str = "row_id", text: str = "content", label: str = "language", train_rows: int = TRAIN_ROWS, rounds: int = 2) -> Trees:
     """Trees from a bounded sample of rows of each stated language. As labels may be wrong, each round gives every
-    sentence of the sample to the language that codes it shortest and builds the trees anew."""
+    sentence of the sample to the language that codes it shortest and builds the trees anew.
+
+    A language of another script may also be written in Latin letters. Such sentences get a tree of their own, named
+    `te~`: those without any usual word of the languages written in Latin letters, as most of the other script's labels have it.
+    """
     stated = F.lower(F.regexp_extract(F.trim(F.col(label)), r"^([A-Za-z]+)", 1))
     code = F.create_map(*(x for w, c in _CODES.items() for x in (F.lit(w), F.lit(c))))[stated]
     picked = rows.filter(F.col(text).isNotNull() & (F.trim(text) != "")).select(code.alias("c"), F.col(text).alias("t"), F.xxhash64(F.col(key)).alias("h")).filter("c is not null")
-    sentences: list[tuple[str, list[str]]] = []
+    sentences: list[tuple[str, list[str], bool]] = []
     for c in STATED:
         for r in picked.filter(F.col("c") == c).orderBy("h").limit(train_rows).collect():
-            sentences += [(c, w) for s in sentences_of(r["t"]) if len(w := words_of(s)) >= 3]
+            sentences += [(c, w, _latin(w)) for s in sentences_of(r["t"]) if len(w := words_of(s)) >= 3]
+    latin = {c for c in STATED if 2 * sum(f for k, _, f in sentences if k == c) > sum(k == c for k, _, _ in sentences)}
 
-    def counts(labels: list[str]) -> dict[str, Counter]:
+    def built(labels: list[str]) -> Trees:
         out: dict[str, Counter] = defaultdict(Counter)
-        for c, (_, w) in zip(labels, sentences):
-            out[c].update(w)
-        return out
-
-    labels = [c for c, _ in sentences]
-    trees = Trees.built(counts(labels))
+        for c, (_, w, _) in zip(labels, sentences):
+            if c:
+                out[c].update(w)
+        return Trees.built(out)
+
+    # usual words of the languages in Latin letters: those in one of three hundred of their sentences
+    usual: set[str] = set()
+    for c in latin:
+        own = [w for k, w, f in sentences if f and k == c]
+        seen = Counter(x for w in own for x in set(w))
+        usual.update(x for x, n in seen.items() if n >= max(3, len(own) / 300))
+    strange = [f and len(w) >= 4 and not any(x in usual for x in w) for _, w, f in sentences]
+    most = Counter(k for (k, _, _), x in zip(sentences, strange) if x and k not in latin).most_common(1)
+    labels = [(f"{most[0][0]}~" if most else "") if x else "" if f and c not in latin else c for (c, _, f), x in zip(sentences, strange)]
+    trees = built(labels)
     for _ in range(rounds if len(trees.languages) > 1 else 0):
-        best = trees.sentence_bits([w for _, w in sentences]).argmin(1)
+        best = trees.sentence_bits([w for _, w, _ in sentences]).argmin(1)
         labels = [trees.languages[i] for i in best]
-        trees = Trees.built(counts(labels))
+        trees = built(labels)
     return trees
 
 
 def story_languages(bits: np.ndarray, lead: float = LEAD_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(language number, confidence) of each sentence of one story; sentences without a clear lead follow the story."""
+    """(language number, confidence) of each sentence of one story; sentences without a clear lead follow the story.
+
+    `bits` has one column for each language.
+    """
     order = np.sort(bits, 1)
     best, gap = bits.argmin(1), order[:, 1] - order[:, 0] if bits.shape[1] > 1 else np.full(len(bits), 99.0)
     clear = gap >= lead
@@ -182,11 +204,12 @@ def story_languages(bits: np.ndarray, lead: float = LEAD_BITS) -> tuple[np.ndarr
     return best, 1 / (1 + np.exp2(-np.minimum(gap, 60) / 4))
 
 
-_SEGMENTS = pa.schema([("_key", pa.int64()), ("segment_no", pa.int32()), ("lang", pa.string()), ("n_sentences", pa.int32()), ("confidence", pa.float64()), ("text", pa.string())])
+_SEGMENTS = pa.schema([("_key", pa.int64()), ("segment_no", pa.int32()), ("lang", pa.string()), ("n_sentences", pa.int32()), ("n_story", pa.int32()), ("confidence", pa.float64()), ("text", pa.string()), ("stated", pa.string())])
 
 
 def language_segments(rows: DataFrame, key: str = "row_id", text: str = "content", label: str = "language", trees: Trees | None = None, with_text: bool = True) -> DataFrame:
-    """(key, segment_no, lang, n_sentences, confidence, text): stretches of sentences in one language in each story.
+    """(key, segment_no, lang, n_sentences, n_story, confidence, text, stated): stretches of sentences in one language in
+    each story of n_story sentences; `stated` is the language its label states, or null.
 
     Null and blank texts, and pages without a story, give no row; a story without letters gives none either. Telugu is
     `te` in any script, garbled text counts as meant. Long texts are read whole, repeated rows judged alike; other
@@ -197,35 +220,38 @@ def language_segments(rows: DataFrame, key: str = "row_id", text: str = "content
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Trees(*share.value)
+        plain = [c.rstrip("~") for c in model.languages]
+        names = sorted(set(plain))
+        groups = [[i for i, c in enumerate(plain) if c == n] for n in names]
         for batch in batches:
             out: list[list] = [[] for _ in _SEGMENTS.names]
-            stories = [(k, s) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if model.languages and (s := [x for x in sentences_of(t) if words_of(x)])]
-            bits = model.sentence_bits([words_of(x) for _, s in stories for x in s])
+            split = [(k, label_, [(x, w) for x in sentences_of(t) if (w := words_of(x))]) for k, t, label_ in zip(*(c.to_pylist() for c in batch.columns))] if names else []
+            stories = [(k, stated_language(label_), [x for x, _ in s], [w for _, w in s]) for k, label_, s in split if s]
+            bits = model.sentence_bits([w for x in stories for w in x[3]])
+            if names:
+                bits = np.stack([bits[:, g].min(1) for g in groups], 1)
             at = 0
-            for k, s in stories:
+            for k, stated, s, _ in stories:
                 best, sure = story_languages(bits[at : at + len(s)])
                 at += len(s)
                 edges = [0, *(np.flatnonzero(np.diff(best)) + 1), len(s)]
                 for no, (a, b) in enumerate(zip(edges, edges[1:])):
-                    for column, x in zip(out, (k, no + 1, model.languages[best[a]], int(b - a), float(sure[a:b].mean()), " ".join(s[a:b]) if with_text else None)):
+                    for column, x in zip(out, (k, no + 1, names[best[a]], int(b - a), len(s), float(sure[a:b].mean()), " ".join(s[a:b]) if with_text else None, stated)):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _SEGMENTS.types)], schema=_SEGMENTS)
 
-    named = rows.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint"), text)
-    return named.mapInArrow(segments, "_key bigint, segment_no int, lang string, n_sentences int, confidence double, text string").withColumnRenamed("_key", key)
+    named = rows.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint"), text, label)
+    return named.mapInArrow(segments, "_key bigint, segment_no int, lang string, n_sentences int, n_story int, confidence double, text string, stated string").withColumnRenamed("_key", key)
 
 
 def document_languages(segments: DataFrame, key: str = "row_id", least: int = 2) -> DataFrame:
-    """(key, lang, n_sentences, confidence) for each language with at least `least` sentences of a story, or all of it if shorter."""
-    by = segments.groupBy(key, "lang").agg(F.sum("n_sentences").alias("n_sentences"), (F.sum(F.col("confidence") * F.col("n_sentences")) / F.sum("n_sentences")).alias("confidence"))
-    whole = segments.groupBy(key).agg(F.sum("n_sentences").alias("_all"))
-    return by.join(whole, key).filter(F.col("n_sentences") >= F.least(F.lit(least), F.col("_all"))).drop("_all")
+    """(key, lang, n_sentences, confidence, stated) for each language with at least `least` sentences of a story, or all of it if shorter."""
+    weighted = F.sum(F.col("confidence") * F.col("n_sentences")) / F.sum("n_sentences")
+    by = segments.groupBy(key, "lang").agg(F.sum("n_sentences").alias("n_sentences"), weighted.alias("confidence"), F.first("stated").alias("stated"), F.first("n_story").alias("_story"))
+    return by.filter(F.col("n_sentences") >= F.least(F.lit(least), F.col("_story"))).drop("_story")
 
 
 def unstated_languages(rows: DataFrame, key: str = "row_id", text: str = "content", label: str = "language") -> DataFrame:
     """(key, lang): languages of a story that its label does not state."""
-    code = F.create_map(*(x for w, c in _CODES.items() for x in (F.lit(w), F.lit(c))))
-    word = F.lower(F.trim(F.col(label)))
-    stated = F.coalesce(code[word], F.when(word.rlike(r"^[a-z]{2,3}([-_][a-z0-9]{2,8})+$"), code[F.split(word, "[-_]")[0]]))
     found = document_languages(language_segments(rows, key, text, label, with_text=False), key)
-    return found.join(rows.select(F.col(key), stated.alias("_stated")), key).filter(F.col("_stated").isNull() | (F.col("_stated") != F.col("lang"))).select(key, "lang")
+    return found.filter(~F.col("stated").eqNullSafe(F.col("lang"))).select(key, "lang")
