@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from skeinfeed.session import small, written
 
 #: Labelled documents that the model is fitted on: a bounded sample, chosen by hash of the id.
-LABELLED_DOCS = 12_000
+LABELLED_DOCS = 4_000
 #: Features (words, pairs of words, starts and ends of words) that get an embedding: those in most labelled documents.
-MAX_FEATURES, LEAST_DOCS = 40_000, 3
-DIMENSIONS, RATE, SHARE = 16, 0.06, 0.25
+MAX_FEATURES, LEAST_DOCS = 25_000, 3
+DIMENSIONS, RATE, SHARE = 12, 0.1, 0.25
 #: Rounds on means, on top quarters and on single sentences; logit from which a sentence is taken to be about its document's subject.
-ROUNDS, LIKELY = (15, 20, 25), -2.0
+ROUNDS, LIKELY = (10, 12, 14), -2.0
 
 _EDGE = string.punctuation + "“”‘’„«»‚…–—।॥₹¿¡©|"
 _END = re.compile(r"(?<=[.!?।॥])\s+(?=[^\sa-zà-ÿ])|(?<=[.!?।…][”“»\"])\s+(?=[A-ZÀ-ÞЀ-Я“„«¿¡\"])|\n+")
@@ -110,21 +110,21 @@ class Model:
         return out
 
 
-def _gradients(docs: list[tuple], embed: np.ndarray, weight: np.ndarray, bias: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Summed gradients over docs of (targets, sentence lengths in features, features)."""
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Values and lengths of a list column, without Python objects."""
+    return column.flatten().to_numpy(zero_copy_only=False), np.diff(column.offsets.to_numpy(zero_copy_only=False))
+
+
+def _gradients(targets: np.ndarray, per_doc: np.ndarray, lengths: np.ndarray, ids: np.ndarray, embed: np.ndarray, weight: np.ndarray, bias: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Summed gradients over documents: their targets and numbers of sentences, the sentences' numbers of features, the features."""
     k = weight.shape[1]
-    targets = np.stack([d[0] for d in docs]).astype(np.float64)
-    lengths = np.concatenate([d[1] for d in docs])
-    ids = np.concatenate([d[2] for d in docs])
-    per_doc = np.asarray([len(d[1]) for d in docs])
-    owner = np.repeat(np.arange(len(docs)), per_doc)
+    owner = np.repeat(np.arange(len(per_doc)), per_doc)
     starts = np.cumsum(lengths) - lengths
-    mean = np.add.reduceat(embed[ids], starts) / lengths[:, None]
+    mean = np.add.reduceat(embed[ids], starts) / lengths[:, None].astype(np.float32)
     z = mean @ weight + bias
     first = np.cumsum(per_doc) - per_doc
     top = np.maximum(1, np.ceil(per_doc * share)).astype(np.int64)  # share 0: sentence by sentence
     d_z = np.zeros_like(z)
-    loss = 0.0
     if not share:
         own = np.where(targets[owner] >= 0.5, z, -np.inf)
         best, some = own.argmax(1), own.max(1) > LIKELY
@@ -134,18 +134,15 @@ def _gradients(docs: list[tuple], embed: np.ndarray, weight: np.ndarray, bias: n
         open_ = (targets[owner] > 0) & (targets[owner] < 0.5)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         d_z = np.where(open_, 0, p - wanted) / per_doc[owner][:, None]
-        loss = float(np.abs(d_z).sum())
     for j in range(k if share else 0):
-        order = np.lexsort((-z[:, j], owner))
+        order = np.lexsort((-z[:, j], owner)) if share < 1 else np.arange(len(owner))
         chosen = order[(np.arange(len(order)) - first[owner[order]]) < top[owner[order]]]
-        doc_z = np.bincount(owner[chosen], weights=z[chosen, j], minlength=len(docs)) / top
+        doc_z = np.bincount(owner[chosen], weights=z[chosen, j], minlength=len(per_doc)) / top
         p = 1 / (1 + np.exp(-np.clip(doc_z, -30, 30)))
-        loss -= float(np.sum(targets[:, j] * np.log(p + 1e-9) + (1 - targets[:, j]) * np.log(1 - p + 1e-9)))
         d_z[chosen, j] = ((p - targets[:, j]) / top)[owner[chosen]]
-    d_weight, d_bias = mean.T @ d_z, d_z.sum(0)
-    d_token = np.repeat((d_z @ weight.T) / lengths[:, None], lengths, axis=0)
+    d_token = np.repeat(((d_z @ weight.T) / lengths[:, None]).astype(np.float32), lengths, axis=0)
     d_embed = np.stack([np.bincount(ids, weights=d_token[:, c], minlength=len(embed)) for c in range(embed.shape[1])], 1)
-    return d_embed, d_weight, d_bias, loss
+    return d_embed, mean.T @ d_z, d_z.sum(0)
 
 
 class _Adam:
@@ -210,18 +207,18 @@ def fitted_model(docs: DataFrame, labels: DataFrame, subjects: DataFrame, doc: s
 
         def gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             e, w, b, part = now.value
-            docs_ = [(np.asarray(y), np.asarray(n, np.int64), np.asarray(i, np.int64)) for batch in batches for y, n, i in zip(*(c.to_pylist() for c in batch.columns))]
-            if docs_:
-                de, dw, db, loss = _gradients(docs_, e, w, b, part)
-                blob = [x.astype(np.float32).tobytes() for x in (de, dw, db)]
-                yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.binary()) for x in blob), pa.array([loss], pa.float64()), pa.array([len(docs_)], pa.int64())], ["e", "w", "b", "loss", "n"])
+            for batch in batches:
+                if batch.num_rows:
+                    (y, _), (lengths, per_doc), (ids, _) = (_flat(c) for c in batch.columns)
+                    sums_ = _gradients(y.reshape(batch.num_rows, -1), per_doc, lengths, ids, e, w, b, part)
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in sums_), pa.array([batch.num_rows], pa.int64())], ["e", "w", "b", "n"])
 
         sums, n = [np.zeros(embed.shape), np.zeros(weight.shape), np.zeros(bias.shape)], 0
-        for row in data.mapInArrow(gradients, "e binary, w binary, b binary, loss double, n long").collect():
+        for row in data.mapInArrow(gradients, "e binary, w binary, b binary, n long").collect():
             for total, blob in zip(sums, row[:3]):
                 total += np.frombuffer(blob, np.float32).reshape(total.shape)
             n += row["n"]
-        now.unpersist()
+        now.destroy()
         sums = [g / max(n, 1) for g in sums]
         sums[0] += 1e-7 * embed
         adam.step([embed, weight, bias], sums, RATE)
