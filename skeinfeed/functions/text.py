@@ -17,6 +17,16 @@ ENDING = r"[.!?।\"')\]]$"
 _BLANK_LINE = r"\n{2,}"
 
 
+def fused(pieces) -> str:
+    """One alternation of patterns, those with the same first letter under it, so that most positions fail at one look."""
+    by_first: dict[str, list[str]] = {}
+    for p in pieces:
+        n = 2 if p[0] == "\\" else 1
+        by_first.setdefault(p[:n], []).append(p[n:])
+    firsts = "".join(by_first)
+    return f"(?=[{firsts}])(?:{'|'.join(f'{a}(?:{chr(124).join(rest)})' for a, rest in by_first.items())})"
+
+
 def text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -193,7 +203,7 @@ def garbage_sentence(c: Column) -> Column:
 
     def of(c: Column) -> Column:
         s = strip(c)
-        return (F.length(s) < 5) | s.rlike(r"^https?://\S+$") | F.lower(s).rlike("|".join(L.GARBAGE_SENTENCES))
+        return (F.length(s) < 5) | s.rlike(r"^https?://\S+$") | F.lower(s).rlike(fused(L.GARBAGE_SENTENCES))
 
     return let(text(c), of)
 
@@ -243,17 +253,20 @@ def without_summaries(c: Column) -> Column:
 def clean_metadata(c: Column) -> Column:
     """Bylines, dates, credits, navigation, notices and links taken out of running text; then junk phrases to the end of their line."""
     t = fix_encoding(c)
-    t = F.regexp_replace(t, rf"(?i)(?:{'|'.join(L.METADATA_TO_STOP)})[^\n.।]*[.।]?", "")
-    t = F.regexp_replace(t, rf"(?i)(?:{'|'.join(L.METADATA_ALONE)})", "")
-    t = F.regexp_replace(t, rf"(?i)(^|[{WS}।])(?:{'|'.join(L.JUNK_PHRASES)})[^\n।]*", "$1")
+    t = F.regexp_replace(t, rf"(?i)(?:\b{fused(L.METADATA_TO_STOP)}|©)[^\n.।]*[.।]?", "")
+    t = F.regexp_replace(t, rf"(?i){fused(L.METADATA_LINKS)}|\b(?=\d)(?:{'|'.join(L.METADATA_FIGURES)})", "")
+    t = F.regexp_replace(t, rf"(?i)(^|[{WS}।]){fused(L.JUNK_PHRASES)}[^\n।]*", "$1")
     return strip(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
 def _first_of_each(items: Column, key) -> Column:
     """Items in order without those whose key came before; empty keys are kept."""
-    step = lambda a, x: F.when((key(x) != "") & F.array_contains(a["keys"], key(x)), a).otherwise(F.struct(F.concat(a["kept"], F.array(x)).alias("kept"), F.concat(a["keys"], F.array(key(x))).alias("keys")))
-    empty = F.array().cast("array<string>")
-    return F.aggregate(items, F.struct(empty.alias("kept"), empty.alias("keys")), step, lambda a: a["kept"])
+    keyed = F.transform(items, lambda x, i: F.struct(x.alias("x"), key(x).alias("k"), i.alias("i")))
+    keys = lambda all_: F.transform(all_, lambda x: x["k"])
+    with_keys = let(keyed, lambda a: F.struct(a.alias("a"), keys(a).alias("k")))
+    # an item stays if its key's first position is its own
+    first = let(with_keys, lambda p: F.filter(p["a"], lambda x: (x["k"] == "") | (F.array_position(p["k"], x["k"]) == x["i"] + 1)))
+    return F.transform(first, lambda x: x["x"])
 
 
 def distinct_lines(c: Column) -> Column:
@@ -368,11 +381,12 @@ def highlights(c: Column, most: int = 5) -> Column:
     """The first sentences of eight to forty words that are no garbage and neither contain nor are contained in one before."""
 
     def of(c: Column) -> Column:
-        fit = F.filter(sentences(c), lambda s: (word_count(s) >= 8) & (word_count(s) <= 40) & ~garbage_sentence(s) & (F.length(match_key(s)) >= 10))
-        near = lambda a, s: F.exists(a["keys"], lambda k: F.contains(k, match_key(s)) | F.contains(match_key(s), k))
-        empty = F.array().cast("array<string>")
-        step = lambda a, s: F.when(near(a, s), a).otherwise(F.struct(F.concat(a["kept"], F.array(s)).alias("kept"), F.concat(a["keys"], F.array(match_key(s))).alias("keys")))
-        return F.slice(F.aggregate(fit, F.struct(empty.alias("kept"), empty.alias("keys")), step, lambda a: a["kept"]), 1, most)
+        counted = F.transform(sentences(c), lambda s: F.struct(s.alias("s"), match_key(s).alias("k"), (F.size(F.split(s, " "))).alias("n")))
+        fit = F.filter(counted, lambda x: (x["n"] >= 8) & (x["n"] <= 40) & (F.length(x["k"]) >= 10) & ~garbage_sentence(x["s"]))
+        near = lambda a, x: F.exists(a, lambda y: F.contains(y["k"], x["k"]) | F.contains(x["k"], y["k"]))
+        step = lambda a, x: F.when(near(a, x), a).otherwise(F.concat(a, F.array(x)))
+        kept = F.aggregate(fit, F.array().cast("array<struct<s:string,k:string,n:int>>"), step)
+        return F.slice(F.transform(kept, lambda x: x["s"]), 1, most)
 
     return let(text(c), of)
 

@@ -21,6 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of fewer files than the cluster has cores, dealt out over all cores; others as they are.
+
+    For work that costs far more than moving its input: a file of one row group is otherwise one task.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make the package importable in Python workers, whatever their path (once a session)."""
     from pathlib import Path
