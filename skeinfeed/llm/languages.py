@@ -73,7 +73,7 @@ class Trees:
         word = np.repeat(np.arange(len(words)), lengths)
         packed, now = [data], data
         for k in range(1, ORDER + 1):
-            now = now + (np.concatenate((np.zeros(k, np.int64), data[:-k])) << (8 * k))
+            now = now + (np.concatenate((np.zeros(k, np.int64), data))[: len(data)] << (8 * k))
             packed.append(now)
         at = depth > 0
         return word[at], [p[at] for p in packed], np.minimum(depth[at], ORDER)
@@ -82,6 +82,8 @@ class Trees:
     def built(cls, counts: dict[str, Counter]) -> Trees:
         """Trees from the word counts of each language."""
         languages = sorted(counts)
+        if not languages:
+            return cls([], [], [], [], [])
         grams: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(ORDER + 1)]
         for language in languages:
             words = sorted(counts[language])

@@ -13,11 +13,15 @@ from skeinfeed.llm.page_body import boilerplate_lines, main_body
 from skeinfeed.llm.source_lines import LineCounts
 from skeinfeed.llm.subjects import document_subjects, fitted_model
 from skeinfeed.llm.truncation import truncated_values, truncation_report
-from skeinfeed.session import table
+from skeinfeed.session import spread, table
+
+
+def _articles(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "articles").select("row_id", "article_id", "title", "description", "content", "source", "url", "language"))
 
 
 def _written_fields(spark: SparkSession, d: str) -> DataFrame:
-    return text_fields(table(spark, d, "articles"), "articles", "row_id", ["title", "content"]).unionByName(text_fields(table(spark, d, "ai_cache"), "ai_cache", "cache_id", ["data"]))
+    return text_fields(spread(table(spark, d, "articles").select("row_id", "title", "content")), "articles", "row_id", ["title", "content"]).unionByName(text_fields(spread(table(spark, d, "ai_cache").select("cache_id", "data")), "ai_cache", "cache_id", ["data"]))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -29,23 +33,23 @@ def p2_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return truncated_values(table(spark, d, "articles")).filter("truncated").select("row_id", "field_name")
+    return truncated_values(_articles(spark, d)).filter("truncated").select("row_id", "field_name")
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    return truncation_report(table(spark, d, "articles"))
+    return truncation_report(_articles(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return unstated_languages(table(spark, d, "articles"))
+    return unstated_languages(_articles(spark, d))
 
 
 def p5_segments(spark: SparkSession, d: str) -> DataFrame:
-    return language_segments(table(spark, d, "articles"))
+    return language_segments(_articles(spark, d))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return boilerplate_lines(table(spark, d, "articles"))
+    return boilerplate_lines(_articles(spark, d))
 
 
 def p6_body(spark: SparkSession, d: str) -> DataFrame:
@@ -74,19 +78,19 @@ def p7_rebuilt(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
-    return packed_texts(table(spark, d, "documents"))
+    return packed_texts(spread(table(spark, d, "documents").select("doc_id", "text", "source")))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return contained_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("item_id", "doc_id").distinct()
+    return contained_items(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items")).select("item_id", "doc_id").distinct()
 
 
 def p9_spans(spark: SparkSession, d: str) -> DataFrame:
-    return contained_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return contained_items(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items"))
 
 
 def p10_subjects(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     return document_subjects(docs, fitted_model(docs, table(spark, d, "subject_labels"), table(spark, d, "subjects")))
 
 
