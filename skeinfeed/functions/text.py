@@ -67,7 +67,7 @@ def has_telugu(c: Column) -> Column:
 
 def hits(c: Column, needles) -> Column:
     """How many of the needles are substrings."""
-    return F.size(F.filter(F.array(*(F.lit(n) for n in needles)), lambda n: F.contains(c, n)))
+    return let(c, lambda v: F.size(F.filter(F.array(*(F.lit(n) for n in needles)), lambda n: F.contains(v, n))))
 
 
 # identities, scores, labels
@@ -161,8 +161,7 @@ def title_words(title: Column) -> Column:
 
 def fits_title(content: Column, title: Column, least: int = 1) -> Column:
     """Whether at least so many words of the title (four letters or more) are substrings of the content."""
-    low = F.lower(text(content))
-    found = F.size(F.filter(title_words(title), lambda w: F.contains(low, w)))
+    found = let(F.lower(text(content)), lambda low: F.size(F.filter(title_words(title), lambda w: F.contains(low, w))))
     return F.when(text(title) == "", text(content) != "").otherwise(found >= least)
 
 
