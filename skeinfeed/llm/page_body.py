@@ -1,13 +1,15 @@
 """The story of a page without menus, notices and links around it.
 
-The token streams of a host's pages are concatenated in blocks and sorted into a suffix array by prefix doubling, so that
-strings repeated across distinct pages show up as runs of equal rank. Lines that such strings cover are candidates; a
-check of each candidate keeps the story's own recurring lines. What stands on one page only is kept as unique.
+Strings repeated across a host's pages nominate lines. What repeated strings of two and more tokens cover is just what
+the repeated pairs of tokens cover, as every pair within a repeated string repeats with it; so pairs, line ends and tokens
+are counted for each whole host in one mergeable sum, and lines are judged against these counts. A check of each candidate
+keeps the story's own recurring lines. What stands on one page only is kept as unique. `repeated_lines` gives the same
+shares for lines held in memory, by a suffix array sorted by prefix doubling.
 """
 
 from __future__ import annotations
 
-import re
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinfeed.llm.page_lines import furniture, runs_on, tidy
-from skeinfeed.session import small, written
+from skeinfeed.session import written
 
-#: Bytes of distinct lines that one suffix array holds; a host with more is parted into so many blocks by line hash.
+#: Bytes of distinct lines that a task counts before it hands their counts on; the result does not depend on it.
 BLOCK_BYTES = 4_000_000
 #: Doubling rounds: repeated strings are found up to 2 ** ROUNDS tokens.
 ROUNDS = 4
@@ -107,17 +109,110 @@ def repeated_lines(lines: list[str], pages: np.ndarray, least: int = 2, tails: i
     return np.add.reduceat(covered.astype(np.float64), starts[:-1]) / lengths, closed
 
 
-def _judged(keys: list, lines: list[str], pages: np.ndarray) -> list[tuple[int, int, bool]]:
-    tidied = [tidy(x) for x in lines]
-    share, closed = repeated_lines(tidied, pages)
-    out = []
-    for key, line, text, s, whole in zip(keys, lines, tidied, share, closed):
-        if s <= 0:
-            continue  # a unique run
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Well spread 64-bit hashes of 64-bit values."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_TAIL, _LAST, _EVERY = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+#: Of a line that needs a look: places of its tail, its last token and that token anywhere among its keys; its pairs follow.
+_PAIRS_FROM = 3
+_COUNTED = pa.schema([("_stat", pa.int64()), ("_n", pa.int64()), ("_a", pa.int64()), ("_b", pa.int64()), ("_sure", pa.bool_()), ("_whole", pa.bool_()), ("_length", pa.int32()), ("_needs", pa.list_(pa.int64()))])
+
+
+class _Block:
+    """Distinct lines of any hosts: their counts by hashed key, and the lines that may be furniture with the keys they hang on."""
+
+    def __init__(self) -> None:
+        self.ids: list[int] = []
+        self.lengths: list[int] = []
+        self.lines: list[tuple] = []
+        self.bytes = 0
+
+    def add(self, vocabulary: dict[str, int], host: int, a: int, b: int, line: str, pages: int) -> None:
+        text = tidy(line)
+        tokens = line_tokens(text)
+        self.ids.append(_BOL)
+        for t in tokens:
+            if (k := vocabulary.get(t)) is None:
+                k = vocabulary[t] = int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+            self.ids.append(k)
+        self.ids.append(_EOL)
+        self.lengths.append(len(tokens) + 2)
         kind = furniture(line)
-        if kind or (kind is None and s >= 0.3 and whole and not runs_on(text)):
-            out.append((key[0], key[1], bool(kind)))
-    return out
+        if kind is None and (len(tokens) < 3 or runs_on(text)):
+            kind = False
+        self.lines.append((host, a, b, kind, pages))
+        self.bytes += len(line) * 2 + 16
+
+    def counted(self) -> Iterator[pa.RecordBatch]:
+        if not self.lines:
+            return
+        lengths, hosts = np.asarray(self.lengths), np.asarray([x[0] for x in self.lines], np.int64).view(np.uint64)
+        pages = np.asarray([x[4] for x in self.lines], np.int64)
+        ids, ends = np.asarray(self.ids, np.uint64), np.cumsum(lengths)
+        starts, line_of = ends - lengths, np.repeat(np.arange(len(lengths)), lengths)
+        token = _mixed(ids + hosts[line_of])
+        inner = np.ones(len(ids), bool)
+        inner[ends - 1] = False  # no pair runs on into the next line
+        pair = np.zeros(len(ids), np.uint64)
+        pair[:-1] = _mixed(token[:-1] * np.uint64(3) + ids[1:])
+        long = lengths >= 5
+        tail, last, every = _mixed(pair[np.maximum(ends - 3, 0)] ^ _TAIL), _mixed(token[ends - 2] ^ _LAST), _mixed(token ^ _EVERY)
+        stats = np.concatenate((pair[inner], tail[long], last, every))
+        counts = np.concatenate((pages[line_of[inner]], np.ones(len(stats) - inner.sum(), np.int64)))
+        keys, inverse = np.unique(stats, return_inverse=True)
+        sums = np.zeros(len(keys), np.int64)
+        np.add.at(sums, inverse, counts)
+        many = np.zeros(len(ids), bool)
+        many[inner] = sums[inverse[: inner.sum()]] >= 2  # what repeats within the block repeats within the host
+        yield _filled(len(keys), _stat=keys.view(np.int64), _n=sums)
+        out: list[list] = [[] for _ in range(6)]
+        for k, (_, a, b, kind, n) in enumerate(self.lines):
+            if kind is not False:
+                whole = n >= 2 or bool(kind and many[starts[k] : ends[k]].any())
+                needs = [] if kind and whole else np.asarray([tail[k], last[k], every[ends[k] - 2], *(() if whole else pair[starts[k] : ends[k] - 1])], np.uint64).view(np.int64)
+                for column, x in zip(out, (a, b, bool(kind), whole, lengths[k], needs)):
+                    column.append(x)
+        yield _filled(len(out[0]), **dict(zip(_COUNTED.names[2:], out)))
+
+
+def _filled(n: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _COUNTED], schema=_COUNTED)
+
+
+def _judged(distinct: DataFrame, block_bytes: int) -> DataFrame:
+    """(_a, _b, _sure) of the furniture among distinct lines (_host, _a, _b, _line, _pages), by the counts of their whole hosts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary: dict[str, int] = {}
+        block = _Block()
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                block.add(vocabulary, *row)
+                if block.bytes >= block_bytes:
+                    yield from block.counted()
+                    block = _Block()
+            if len(vocabulary) > 500_000:
+                vocabulary.clear()
+        yield from block.counted()
+
+    rows = distinct.select(F.xxhash64("_host"), "_a", "_b", "_line", "_pages").mapInArrow(count, "_stat bigint, _n bigint, _a bigint, _b bigint, _sure boolean, _whole boolean, _length int, _needs array<bigint>")
+    rows = written(distinct.sparkSession, rows, "page-counts")
+    counts = rows.filter("_stat is not null").groupBy("_stat").agg(F.sum("_n").alias("_n"))
+    lines = rows.filter("_a is not null")
+    needs = lines.filter("not (_sure and _whole)").select("_a", "_b", "_sure", "_whole", "_length", F.posexplode("_needs").alias("_at", "_stat")).filter(~F.col("_sure") | (F.col("_at") >= _PAIRS_FROM))
+    found = needs.join(counts, "_stat").filter((F.col("_at") < _PAIRS_FROM) | (F.col("_n") >= 2))
+    of = lambda at: F.max(F.when(F.col("_at") == at, F.col("_n")))
+    places = F.collect_list(F.when(F.col("_at") >= _PAIRS_FROM, F.col("_at")))
+    line = found.groupBy("_a", "_b", "_sure", "_whole", "_length").agg(of(0).alias("_tail"), of(1).alias("_last"), of(2).alias("_every"), places.alias("_places"))
+    # a repeated pair covers its own token and the next
+    covered = F.size(F.array_union("_places", F.transform("_places", lambda p: p + 1)))
+    share = F.when(F.col("_whole"), 1.0).otherwise(covered / F.col("_length"))
+    closed = (F.col("_tail") >= 3) | ((F.col("_last") >= 10) & (F.col("_last") * 2 >= F.col("_every")))
+    return lines.filter("_sure and _whole").select("_a", "_b", "_sure").unionByName(line.filter(F.col("_sure") | ((share >= 0.3) & closed)).select("_a", "_b", "_sure"))
 
 
 def boilerplate_lines(pages: DataFrame, key: str = "row_id", text: str = "content", url: str = "url", source: str = "source", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -136,16 +231,7 @@ def boilerplate_lines(pages: DataFrame, key: str = "row_id", text: str = "conten
         .withColumns({"_a": F.xxhash64("_host", "_line"), "_b": F.xxhash64(F.lit(1), "_host", "_line")})
     )
     distinct = written(spark, lines.groupBy("_host", "_a", "_b").agg(F.first("_line").alias("_line"), F.count("*").alias("_pages")), "page-lines")
-    sizes = distinct.groupBy("_host").agg(F.ceil(F.sum(F.octet_length("_line") + 16) / F.lit(block_bytes)).cast("int").alias("_blocks"))
-    blocks = distinct.join(small(sizes), "_host").withColumn("_block", F.pmod("_b", F.col("_blocks"))).select("_host", "_block", "_a", "_b", "_line", "_pages")
-    schema = pa.schema([("_a", pa.int64()), ("_b", pa.int64()), ("_sure", pa.bool_())])
-
-    def judge(group: pa.Table) -> pa.Table:
-        keys = list(zip(group.column("_a").to_pylist(), group.column("_b").to_pylist()))
-        found = _judged(keys, group.column("_line").to_pylist(), np.asarray(group.column("_pages").to_pylist(), np.float64))
-        return pa.Table.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(schema.types)], schema=schema)
-
-    judged = blocks.groupBy("_host", "_block").applyInArrow(judge, "_a bigint, _b bigint, _sure boolean")
+    judged = _judged(distinct, block_bytes)
     marked = lines.select("_key", "_pos", "_lines", "_a", "_b").join(judged, ["_a", "_b"])
     return marked.filter(F.col("_sure") | (F.col("_lines") > 1)).select(F.col("_key").alias(key), (F.col("_pos") + 1).cast("int").alias("line_no"))
 

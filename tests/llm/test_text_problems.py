@@ -197,6 +197,21 @@ def test_boilerplate_and_body(spark):
     assert {(r["row_id"], r["line_no"]) for r in boilerplate_lines(df, block_bytes=200).collect()} <= got | {(i, 2) for i in range(6)}
 
 
+def test_lines_are_judged_by_their_whole_host(spark):
+    """Ends of lines and strings that repeat only across blocks count, however small the blocks are."""
+    rng = random.Random(5)
+    ends = [f"{rng.choice('abcdefgh')}{i} went to see {rng.choice(['the old', 'a new', 'his own'])} {rng.choice(['mill', 'farm', 'port', 'pier'])}" for i in range(40)]
+    rows = [(i, "s", "t", None, f"Story {chr(97 + i % 26)}x{i} was told in the town.\n{ends[i]}\nRead more: {rng.choice(['snow', 'rain', 'hail'])} in oz{chr(97 + i % 26)}", "https://d.example/1", "en", "x") for i in range(40)]
+    df = spark.createDataFrame(rows, ARTICLES)
+    got = [{(r["row_id"], r["line_no"]) for r in boilerplate_lines(df, block_bytes=n).collect()} for n in (1, 300, 4_000_000)]
+    lines = list(dict.fromkeys(x for r in rows for x in __import__("re").sub(r"\d+", "0", r[4]).split("\n")))
+    texts = [x for r in rows for x in __import__("re").sub(r"\d+", "0", r[4]).split("\n")]
+    share, closed = repeated_lines(lines, np.asarray([texts.count(x) for x in lines], float))
+    flagged = {x for x, s, c in zip(lines, share, closed) if s > 0 and (furniture(x) or (furniture(x) is None and s >= 0.3 and c))}
+    want = {(i, n) for i, r in enumerate(rows) for n, x in enumerate(__import__("re").sub(r"\d+", "0", r[4]).split("\n"), 1) if x in flagged}
+    assert got[0] == got[1] == got[2] == want and len(want) > 60
+
+
 def test_figures_and_cuts():
     assert is_figures("A 5 | B 6 | 7") and not is_figures("One, two and three") and runs_on("It rained. Then the su") and not runs_on("A headline on rain")
 
