@@ -80,6 +80,19 @@ def test_limits_and_edges(spark):
     assert truncated_values(spark.createDataFrame([], ARTICLES)).collect() == []
 
 
+def test_cuts_at_words_that_end_titles(spark):
+    """However many titles share an end, a cut there counts if the end mostly stands inside sentences; known titles stay."""
+    places = ["Oz", "Ur", "Ys", "Ed", "Ix", "Ra"]
+    rows = [(i, "s", f"{p}: a dispute over the river bank", f"People in {p} saw the river bank give way on Monday.", f"Many in {p} left the river bank at noon.", "u", "en", "x") for i, p in enumerate(places)]
+    rows += [(20 + i, "s", f"t{i}", f"{p} was calm.", None, "u", "en", "x") for i, p in enumerate(places)]
+    rows += [(100, "s", "t", "Nobody had crossed over to the river bank", None, "u", "en", "x"), (101, "s", "t", "Lo: a dispute over the river bank", None, "u", "en", "x")]
+    df = spark.createDataFrame(rows, ARTICLES)
+    for times in (1, 5):
+        more = df.filter("row_id < 100").crossJoin(spark.range(times)).drop("id")
+        got = {r["row_id"]: r["truncated"] for r in truncated_values(more.unionByName(df.filter("row_id >= 100"))).filter("field_name = 'description' and row_id >= 100").collect()}
+        assert got == {100: True, 101: False}
+
+
 # --- 5: languages -----------------------------------------------------------------------------------------------------
 
 SENTENCES = {
