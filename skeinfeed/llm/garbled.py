@@ -148,6 +148,47 @@ def json_text(data: str) -> str:
     return "\n".join(texts)
 
 
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
+
+
+def _spelled(text: str, escaped: bool) -> str:
+    """A text as it stands within a JSON string, with \\uXXXX or not."""
+    return json.dumps(text, ensure_ascii=escaped)[1:-1]
+
+
+def _replaced(text: str, pairs: list[tuple[str, str]]) -> str:
+    for token, original in pairs:
+        text = text.replace(token, original)
+    return text
+
+
+def restored_json(data: str, pairs: list[tuple[str, str]]) -> str:
+    """`data` with tokens replaced within its decoded strings; a string is written back as it was, with \\uXXXX where it had them.
+
+    Of broken JSON the tokens are replaced as they stand there and in their escaped spellings.
+    """
+    try:
+        json.loads(data)
+    except ValueError:
+        for token, original in pairs:
+            data = data.replace(token, original)
+            spelling = "".join(re.escape(c) if c.isascii() else "".join(rf"\\u(?i:{u:04x})" for u in _units(c)) for c in token)
+            data = re.sub(spelling, lambda _: _spelled(original, True), data)
+        return data
+
+    def string(m: re.Match) -> str:
+        text = json.loads(m[0], strict=False)
+        back = _replaced(text, pairs)
+        return m[0] if back == text else f'"{_spelled(back, "\\u" in m[0])}"'
+
+    return _STRING.sub(string, data)
+
+
+def _units(c: str) -> list[int]:
+    raw = c.encode("utf-16-be", "surrogatepass")
+    return [raw[i] << 8 | raw[i + 1] for i in range(0, len(raw), 2)]
+
+
 _SPLIT = re.compile(r"[\x00- ]+")
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -246,9 +287,10 @@ def restored_fields(fields: DataFrame) -> DataFrame:
     def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, pairs in zip(batch.column("text").to_pylist(), batch.column("_pairs").to_pylist()):
-                for token, original in sorted(pairs or (), key=lambda p: -len(p[0])):
-                    text = text.replace(token, original)
+            for field, text, pairs in zip(*(batch.column(n).to_pylist() for n in ("field_name", "text", "_pairs"))):
+                if pairs:
+                    pairs = sorted(pairs, key=lambda p: -len(p[0]))
+                    text = restored_json(text, pairs) if field == "data" else _replaced(text, pairs)
                 out.append(text)
             kept = batch.select([n for n in batch.schema.names if n != "_pairs"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.string())], names=[*kept.schema.names, "restored"])

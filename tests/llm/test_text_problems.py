@@ -52,6 +52,12 @@ def test_garbled_edges(spark):
     assert G.garbled_fields(fields(spark, [])).collect() == []
 
 
+def test_escaped_json_is_restored(spark):
+    rows = [("c", 1, "data", '{"a": "caf\\u00c3\\u00a9 \\"x\\" y", "n": [1.50]}'), ("c", 2, "data", '{"broken": "caf\\u00C3\\u00a9 y'), ("c", 3, "data", '{"a": "cafÃ© y"}'), ("c", 4, "data", '{"a": "caf\\u00e9"}'), ("c", 5, "data", '{"a": "caf\\u00c3\\u00a9", "b": "cafÃ©"}')]
+    back = {r["row_key"]: r["restored"] for r in G.restored_fields(fields(spark, rows)).collect()}
+    assert back == {1: '{"a": "caf\\u00e9 \\"x\\" y", "n": [1.50]}', 2: '{"broken": "caf\\u00e9 y', 3: '{"a": "café y"}', 4: rows[3][3], 5: '{"a": "caf\\u00e9", "b": "café"}'}
+
+
 # --- 4: cut texts -----------------------------------------------------------------------------------------------------
 
 
