@@ -10,13 +10,14 @@ from __future__ import annotations
 import functools
 import json
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinfeed.session import written
+from skeinfeed.session import small, written
 
 
 def _single_byte(codec: str) -> dict[int, str]:
@@ -198,15 +199,21 @@ def tokens_of(text: str) -> list[str]:
     return [t for x in _SPLIT.split(text) if not x.isascii() and (t := x.strip(_EDGE))]
 
 
-_SEEN = pa.schema([("clean", pa.bool_()), ("table_name", pa.string()), ("row_key", pa.int64()), ("field_name", pa.string()), ("token", pa.string())])
+_SEEN = pa.schema([("clean", pa.bool_()), ("table_name", pa.string()), ("row_key", pa.int64()), ("field_name", pa.string()), ("token", pa.string()), ("n", pa.int64())])
+#: Distinct words that a task counts before it hands their counts on.
+HELD_WORDS = 500_000
 
 
 def _words(fields: DataFrame) -> DataFrame:
-    """Clean words (once a batch) and suspicious tokens with their field."""
+    """Words without signs of garbling with the number (n) of fields they stand in, and suspicious tokens with their field."""
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[str] = set()
+        known: Counter[str] = Counter()
         judged: dict[str, bool] = {}
+
+        def filled(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 6, _SEEN.types)], schema=_SEEN)
+
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(4)]
             out: list[tuple] = []
@@ -220,15 +227,27 @@ def _words(fields: DataFrame) -> DataFrame:
                     if bad is None:
                         bad = judged[token] = suspicious(token)
                     if bad:
-                        out.append((False, table, key, field, token))
-                    elif token not in known:
-                        known.add(token)
-                        out.append((True, None, None, None, token))
-                if len(judged) > 500_000:
+                        out.append((False, table, key, field, token, 1))
+                    else:
+                        known[token] += 1
+                if len(judged) > HELD_WORDS:
+                    yield filled([(True, None, None, None, w, n) for w, n in known.items()])
                     judged.clear(), known.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, _SEEN.types)], schema=_SEEN)
+            yield filled(out)
+        yield filled([(True, None, None, None, w, n) for w, n in known.items()])
+
+    return fields.mapInArrow(seen, "clean boolean, table_name string, row_key bigint, field_name string, token string, n bigint")
+
+
+def _holding(fields: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(table_name, row_key, field_name, token) of the fields that hold one of the wanted tokens."""
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(t, k, f, token) for t, k, f, text in zip(*(batch.column(i).to_pylist() for i in range(4))) if not text.isascii() or "\\u" in text for token in set(tokens_of(json_text(text) if f == "data" else text))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 4, _SEEN.types[1:5])], names=_SEEN.names[1:5])
 
-    return fields.mapInArrow(seen, "clean boolean, table_name string, row_key bigint, field_name string, token string")
+    return fields.mapInArrow(hold, "table_name string, row_key bigint, field_name string, token string").join(small(wanted), "token", "left_semi")
 
 
 def _garbled_forms(clean: DataFrame) -> DataFrame:
@@ -265,15 +284,25 @@ def garbled_tokens(fields: DataFrame) -> DataFrame:
     bytes were lost. A word that several chains explain takes the one of fewest steps, then the smallest original.
     """
     spark = fields.sparkSession
-    words = written(spark, _words(fields.filter(F.col("text").isNotNull() & (F.col("text") != "")).select("table_name", F.col("row_key").cast("bigint"), "field_name", "text")), "garbled-words")
-    clean = words.filter("clean").select("token").distinct()
+    texts = fields.filter(F.col("text").isNotNull() & (F.col("text") != "")).select("table_name", F.col("row_key").cast("bigint"), "field_name", "text")
+    words = written(spark, _words(texts), "garbled-words")
+    counted = words.filter("clean").groupBy("token").agg(F.sum("n").alias("n"))
     tokens = words.filter("not clean").select("token").distinct()
-    table = _garbled_forms(clean).join(tokens, "token", "left_semi").groupBy("token").agg(F.min(F.struct("steps", "original")).alias("best")).select("token", "best.original")
+    # a word without signs is garbled too if it is the garbled form of a word that stands in more fields
+    every = counted.unionByName(tokens.select("token", F.lit(0).cast("bigint").alias("n")))
+    pairs = written(spark, _garbled_forms(counted.select("token")).join(every, "token"), "garbled-pairs")
+    pairs = pairs.join(counted.select(F.col("token").alias("original"), F.col("n").alias("_of")), "original").filter(F.col("_of") > F.col("n"))
+    hidden = written(spark, pairs.filter("n > 0").select("token").distinct(), "garbled-hidden")
+    clean = counted.select("token").join(hidden, "token", "left_anti")
+    table = pairs.join(hidden.select(F.col("token").alias("original")), "original", "left_anti").groupBy("token").agg(F.min(F.struct("steps", "original")).alias("best")).select("token", "best.original")
     table = written(spark, table, "garbled-table")
     # the alphabet of the clean text: bounded by the characters of Unicode
     letters = frozenset(r[0] for r in clean.select(F.explode(F.split("token", "")).alias("c")).filter(F.col("c") > "\x7f").distinct().toLocalIterator())
     rest = _decoded_tokens(tokens.join(table, "token", "left_anti"), letters)
-    return words.filter("not clean").select("table_name", "row_key", "field_name", "token").join(table.unionByName(rest), "token")
+    held = words.filter("not clean").select("table_name", "row_key", "field_name", "token")
+    if not hidden.isEmpty():
+        held = held.unionByName(_holding(texts, hidden))
+    return held.join(table.unionByName(rest), "token")
 
 
 def garbled_fields(fields: DataFrame) -> DataFrame:

@@ -52,6 +52,14 @@ def test_garbled_edges(spark):
     assert G.garbled_fields(fields(spark, [])).collect() == []
 
 
+def test_garbled_forms_without_signs_are_found(spark):
+    words = [("für", "cp1250"), ("Straße", "cp1250"), ("más", "cp1250"), ("être", "cp1250"), ("où", "cp1250"), ("À", "cp1251"), ("😀", "cp1252"), ("日本", "cp1252"), ("مرحبا", "cp1252")]
+    rows = [("a", i, "t", " ".join(w for w, _ in words)) for i in range(3)] + [("a", 10 + i, "t", f"x {G.garble(w, (p,))} y") for i, (w, p) in enumerate(words)] + [("a", 30, "t", "für fĂź"), ("a", 31, "t", "fĂź")]
+    back = {r["row_key"]: r["restored"] for r in G.restored_fields(fields(spark, rows)).collect()}
+    assert [back[10 + i] for i in range(len(words))] == [f"x {w} y" for w, _ in words]
+    assert all(back[r[1]] == r[3] for r in rows if r[1] < 10 or r[1] >= 30)
+
+
 def test_escaped_json_is_restored(spark):
     rows = [("c", 1, "data", '{"a": "caf\\u00c3\\u00a9 \\"x\\" y", "n": [1.50]}'), ("c", 2, "data", '{"broken": "caf\\u00C3\\u00a9 y'), ("c", 3, "data", '{"a": "cafÃ© y"}'), ("c", 4, "data", '{"a": "caf\\u00e9"}'), ("c", 5, "data", '{"a": "caf\\u00c3\\u00a9", "b": "cafÃ©"}')]
     back = {r["row_key"]: r["restored"] for r in G.restored_fields(fields(spark, rows)).collect()}
