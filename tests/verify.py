@@ -33,6 +33,8 @@ def rows_of(rows, names):
 
 
 def main():
+    import tempfile
+
     import duckdb
     from pyspark.sql import SparkSession
 
@@ -40,7 +42,7 @@ def main():
 
     args = sys.argv[1:]
     d = args.pop(0) if args and "/" in args[0] else "/root/testdata/sf0.01"
-    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    spark = SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="verify-")).getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
