@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,8 +9,8 @@ from skeinfeed.llm import garbled as G
 from skeinfeed.llm.languages import Trees, document_languages, language_segments, sentences_of, stated_language, unstated_languages
 from skeinfeed.llm.leakage import contained_items, plain_words
 from skeinfeed.llm.packing import Tokens, TOKENIZER, best_fit, packed_texts
-from skeinfeed.llm.page_body import boilerplate_lines, main_body, repeated_lines, suffix_ranks
-from skeinfeed.llm.page_lines import furniture, is_figures, runs_on
+from skeinfeed.llm.page_body import boilerplate_lines, line_tokens, main_body
+from skeinfeed.llm.page_lines import ENDS, furniture, is_figures, runs_on
 from skeinfeed.llm.source_lines import LineCounts
 from skeinfeed.llm.subjects import Model, document_subjects, fitted_model
 from skeinfeed.llm.truncation import judge_value, truncated_values, truncation_report
@@ -188,30 +189,6 @@ def test_story_lines(line):
     assert not furniture(line)
 
 
-def test_ranks_are_those_of_sorted_strings():
-    tokens = np.random.default_rng(3).integers(1, 4, 200)
-    for k, rank in enumerate(suffix_ranks(tokens, 3)):
-        strings = [tuple(tokens[i : i + 2**k]) for i in range(200)]
-        order = {s: i for i, s in enumerate(sorted(set(strings)))}
-        assert [order[s] for s in strings] == list(rank)
-
-
-def test_repeats_against_brute_force():
-    rng = random.Random(2)
-    lines = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(1, 9))) for _ in range(60)]
-    lines = list(dict.fromkeys(lines))
-    share, _ = repeated_lines(lines, np.ones(len(lines)))
-    tokens = [["<", *x.split(), ">"] for x in lines]
-    for i, own in enumerate(tokens):
-        covered = set()
-        for size in (2, 4, 8, 16):
-            for a in range(len(own) - size + 1):
-                n = sum(t[b : b + size] == own[a : a + size] for t in tokens for b in range(len(t) - size + 1))
-                if n >= 2:
-                    covered |= set(range(a, a + size))
-        assert abs(share[i] - len(covered) / len(own)) < 1e-9
-
-
 def test_boilerplate_and_body(spark):
     rows = [(i, "s", "t", None, f"Share this story with your friends\nStory number {i} happened in the town of Oz{i}.\n\nHome | Nation | Sport | Daily Plus", f"https://www.Daily.example/{i}", "en", "x") for i in range(6)]
     rows += [(50, None, "t", None, None, None, "en", "x"), (51, None, "t", None, "", None, "en", "x"), (52, None, "t", None, "word " * 30_000 + ".", None, "en", "x"), (53, "s", "t", None, "A single headline without an end", "u", "en", "x")]
@@ -224,19 +201,76 @@ def test_boilerplate_and_body(spark):
     assert {(r["row_id"], r["line_no"]) for r in boilerplate_lines(df, block_bytes=200).collect()} <= got | {(i, 2) for i in range(6)}
 
 
-def test_lines_are_judged_by_their_whole_host(spark):
-    """Ends of lines and strings that repeat only across blocks count, however small the blocks are."""
+def furniture_by_hand(rows, phrases=True):
+    """What boilerplate_lines() gives for (key, host, text), by plain counting of strings of tokens."""
+    import re
+    from collections import defaultdict
+
+    pages = [(k, h, t, [(n, re.sub(r"\d+(?:[.,]\d+)*", "0", x.strip())) for n, x in enumerate(t.split("\n"), 1) if x.strip()]) for k, h, t in rows]
+
+    def forth(tokens, i):
+        """The shortest string from i on with two words that are no names."""
+        for j in range(i + 1, len(tokens) + 1):
+            if sum(x != "•" for x in tokens[i:j]) == 2:
+                return tokens[i:j]
+        return tokens[i:]
+
+    def back(tokens, j):
+        for i in range(j - 1, -1, -1):
+            if sum(x != "•" for x in tokens[i:j]) == 2:
+                return tokens[i:j]
+        return tokens[:j]
+
+    n, opens, closes = Counter(), defaultdict(list), defaultdict(list)
+    for _, h, t, lines in pages:
+        for _, x in lines:
+            w = tuple(line_tokens(x))
+            n.update((h, s) for s in [forth(w, i) for i in range(len(w))] + [back(w, j + 1) for j in range(len(w)) if w[j] == "•"])
+            opens[h, forth(w, 0)].append(t), closes[h, back(w, len(w))].append(t)
+    class_, spots = {}, defaultdict(list)
+    for k, h, t, lines in pages:
+        of = {}
+        for no, x in lines:
+            w = tuple(line_tokens(x))
+            o, c = (h, forth(w, 0)), (h, back(w, len(w)))
+            ended, runs = ENDS.search(x) is not None, re.search(r"(?<![\d\s])[.!?]\s+\S", x) is not None
+            again = len(set(opens[o])) > 1, len(set(closes[c])) > 1
+            tied = len(opens[o]) >= 0.7 * n[o] and len(closes[c]) >= 0.7 * n[c] and again[1]
+            if tied or (not ended and not runs and any(again)):
+                of[no] = (c, ended or is_figures(x))
+            elif phrases and not any(again) and furniture(x):
+                of[no] = (c, False)
+        story = [no for no, _ in lines if no not in of]
+        for no, (c, by_place) in of.items():
+            if len(lines) > 1:
+                class_[k, no] = (c, by_place)
+                if by_place:
+                    spots[c].append(not story or story[0] < no < story[-1])
+    return {x for x, (c, by_place) in class_.items() if not by_place or sum(spots[c]) < 0.4 * len(spots[c])}
+
+
+def test_lines_against_counting_by_hand(spark):
+    """Whole hosts are judged, however small the blocks are; whole lines of stories and phrases stay what they are."""
     rng = random.Random(5)
-    ends = [f"{rng.choice('abcdefgh')}{i} went to see {rng.choice(['the old', 'a new', 'his own'])} {rng.choice(['mill', 'farm', 'port', 'pier'])}" for i in range(40)]
-    rows = [(i, "s", "t", None, f"Story {chr(97 + i % 26)}x{i} was told in the town.\n{ends[i]}\nRead more: {rng.choice(['snow', 'rain', 'hail'])} in oz{chr(97 + i % 26)}", "https://d.example/1", "en", "x") for i in range(40)]
+    places, things = ["Oz", "Ur", "Ys", "Ed"], ["mill", "farm", "port", "pier", "bank", "dam"]
+    said = ["People in {p} saw the {t} fall.", "The {t} of {p} was sold.", "Nobody bought the old {t}.", "It rained over {p} and its {t}."]
+    frame = ["Share this with {p}", "Daily {t} news {n}", "We keep small files in {p} for our {t}. Stay and agree to that.", "Call our desk in {p}, number {n}."]
+    say = lambda x: x.format(p=rng.choice(places), t=rng.choice(things), n=rng.randrange(99))
+    rows = []
+    for i in range(120):
+        story = [" ".join(say(x) for x in rng.sample(said, rng.randint(1, 3))) for _ in range(rng.randint(1, 3))]
+        if rng.random() < 0.4:
+            story.insert(1, "Here is what is known.")
+        rows.append((i, "s", "t", None, "\n".join([say(rng.choice(frame)) for _ in range(rng.randrange(3))] + story + [""] + [say(rng.choice(frame)) for _ in range(rng.randrange(3))]), f"https://{rng.choice('ab')}.example/1", "en", "x"))
+    rows += [(500 + i, *r[1:]) for i, r in enumerate(rows[:10])] + [(600, "s", "t", None, "All rights reserved by Nolo\nA quiet day in Oz.", "https://c.example/1", "en", "x")]
     df = spark.createDataFrame(rows, ARTICLES)
-    got = [{(r["row_id"], r["line_no"]) for r in boilerplate_lines(df, block_bytes=n).collect()} for n in (1, 300, 4_000_000)]
-    lines = list(dict.fromkeys(x for r in rows for x in __import__("re").sub(r"\d+", "0", r[4]).split("\n")))
-    texts = [x for r in rows for x in __import__("re").sub(r"\d+", "0", r[4]).split("\n")]
-    share, closed = repeated_lines(lines, np.asarray([texts.count(x) for x in lines], float))
-    flagged = {x for x, s, c in zip(lines, share, closed) if s > 0 and (furniture(x) or (furniture(x) is None and s >= 0.3 and c))}
-    want = {(i, n) for i, r in enumerate(rows) for n, x in enumerate(__import__("re").sub(r"\d+", "0", r[4]).split("\n"), 1) if x in flagged}
-    assert got[0] == got[1] == got[2] == want and len(want) > 60
+    for phrases in (True, False):
+        got = [{(r["row_id"], r["line_no"]) for r in boilerplate_lines(df, block_bytes=n, phrases=phrases).collect()} for n in (1, 900, 4_000_000)]
+        want = furniture_by_hand([(r[0], r[5][:17], r[4]) for r in rows], phrases)
+        assert got[0] == got[1] == got[2] == want and ((600, 1) in want) == phrases
+    lines = {(r[0], n): x for r in rows for n, x in enumerate(r[4].split("\n"), 1) if x}
+    framed = {k for k, x in lines.items() if x.startswith(("Share", "Daily", "We keep", "Call"))}
+    assert len(want & framed) >= 0.9 * len(framed) and len(want & framed) >= 0.9 * len(want)
 
 
 def test_figures_and_cuts():
