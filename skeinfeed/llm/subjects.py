@@ -22,6 +22,10 @@ from skeinfeed.session import small, written
 
 #: Labelled documents that the model is fitted on: a bounded sample, chosen by hash of the id.
 LABELLED_DOCS = 4_000
+#: A table of more subjects than this is refused: their outputs would not be small.
+MAX_SUBJECTS = 10_000
+#: Partitions of the sample: so many gradients of features x dimensions go to the driver each round.
+GRADIENT_PARTS = 8
 #: Features (words, pairs of words, starts and ends of words) that get an embedding: those in most labelled documents.
 MAX_FEATURES, LEAST_DOCS = 25_000, 3
 DIMENSIONS, RATE, SHARE = 12, 0.1, 0.25
@@ -50,6 +54,24 @@ def _features(words: list[str]) -> list[str]:
     return [f for w in words for f in parts_of(w)] + [f"{a} {b}" for a, b in zip(words, words[1:])]
 
 
+class _Ids(dict):
+    """Numbers of words as they stand in a text, -1 for what is no word; each spelling is looked into once."""
+
+    def __init__(self) -> None:
+        self.words: dict[str, int] = {}
+        self.fresh: list[str] = []
+
+    def __missing__(self, raw: str) -> int:
+        w = raw.lower().strip(_EDGE)
+        if not w or w[0].isdigit():
+            k = -1
+        elif (k := self.words.get(w, -1)) < 0:
+            k = self.words[w] = len(self.words)
+            self.fresh.append(w)
+        self[raw] = k
+        return k
+
+
 class Model:
     """Contributions of each feature to each subject, and the subjects' biases."""
 
@@ -58,8 +80,6 @@ class Model:
         self.features = {f: i for i, f in enumerate(features)}
         self.table = np.concatenate((table, np.zeros((1, len(subjects)), np.float32))) if len(subjects) else np.zeros((1, 0), np.float32)
         self.none = len(features)
-        self._words: dict[str, int] = {}
-        self._sums, self._counts = np.zeros((0, len(subjects)), np.float32), np.zeros(0, np.int64)
         heads: dict[str, int] = {}
         pairs = [(f.split(" "), i) for f, i in self.features.items() if " " in f]
         for (a, b), _ in pairs:
@@ -68,46 +88,46 @@ class Model:
         keys = np.asarray([heads[a] * (1 << 32) + heads[b] for (a, b), _ in pairs], np.int64)
         order = np.argsort(keys)
         self._pair_keys, self._pair_rows = keys[order], np.asarray([i for _, i in pairs], np.int64)[order]
-        self._word_heads = np.zeros(0, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self._words) > 400_000:
-            self._words, self._sums, self._counts, self._word_heads = {}, self._sums[:0], self._counts[:0], self._word_heads[:0]
-        new = [w for w in dict.fromkeys(words) if w not in self._words]
-        if not new:
-            return
-        rows = [[i for p in parts_of(w) if (i := self.features.get(p)) is not None] for w in new]
-        self._words.update(zip(new, range(len(self._words), len(self._words) + len(new))))
-        self._sums = np.concatenate((self._sums, np.stack([self.table[r].sum(0) if r else self.table[self.none] for r in rows])))
-        self._counts = np.concatenate((self._counts, np.asarray([len(r) for r in rows], np.int64)))
-        self._word_heads = np.concatenate((self._word_heads, np.asarray([self._heads.get(w, -1) for w in new], np.int64)))
-
-    def logits(self, sentences: list[list[str]]) -> np.ndarray:
-        """Logits of each sentence (a list of words) for each subject."""
-        out = np.tile(self.bias, (len(sentences), 1)).astype(np.float64)
-        flat = [w for s in sentences for w in s]
-        if not flat:
-            return out
-        self._learn(flat)
-        if any(w not in self._words for w in flat):  # the cache was emptied on the way
-            self._learn(flat)
-        ids = np.fromiter(map(self._words.__getitem__, flat), np.int64, len(flat))
-        lengths = np.fromiter(map(len, sentences), np.int64, len(sentences))
-        starts = np.cumsum(lengths) - lengths
-        some = np.flatnonzero(lengths)
+        self._forget()
+
+    def _forget(self) -> None:
+        self._ids = _Ids()
+        self._sums, self._counts, self._word_heads = np.zeros((0, len(self.subjects)), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self) -> None:
+        new, self._ids.fresh = self._ids.fresh, []
+        if new:
+            rows = [[i for p in parts_of(w) if (i := self.features.get(p)) is not None] for w in new]
+            self._sums = np.concatenate((self._sums, np.stack([self.table[r].sum(0) if r else self.table[self.none] for r in rows])))
+            self._counts = np.concatenate((self._counts, np.asarray([len(r) for r in rows], np.int64)))
+            self._word_heads = np.concatenate((self._word_heads, np.asarray([self._heads.get(w, -1) for w in new], np.int64)))
+
+    def logits(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of each sentence for each subject, and its number of words."""
+        if len(self._ids) > 800_000:
+            self._forget()
+        split = [s.split() for s in sentences]
+        raw = np.fromiter((self._ids[x] for s in split for x in s), np.int64)
+        owner = np.repeat(np.arange(len(split)), np.fromiter(map(len, split), np.int64, len(split)))
+        self._learn()
+        ids, owner = raw[raw >= 0], owner[raw >= 0]
+        lengths = np.bincount(owner, minlength=len(split))
+        out = np.tile(self.bias, (len(split), 1)).astype(np.float64)
+        if not len(ids):
+            return out, lengths
+        starts, some = np.cumsum(lengths) - lengths, np.flatnonzero(lengths)
         values, counts = self._sums[ids].astype(np.float64), self._counts[ids].copy()
         heads = self._word_heads[ids]
-        key = heads[:-1] * (1 << 32) + heads[1:]
-        inner = (heads[:-1] >= 0) & (heads[1:] >= 0)
-        inner[(starts[some] - 1)[1:]] = False
+        inner = (heads[:-1] >= 0) & (heads[1:] >= 0) & (owner[:-1] == owner[1:])
         if len(self._pair_keys) and inner.any():
+            key = heads[:-1] * (1 << 32) + heads[1:]
             at = np.minimum(np.searchsorted(self._pair_keys, key), len(self._pair_keys) - 1)
             hit = np.flatnonzero(inner & (self._pair_keys[at] == key))
             values[hit] += self.table[self._pair_rows[at[hit]]]
             counts[hit] += 1
         total = np.add.reduceat(counts, starts[some])
         out[some] += np.add.reduceat(values, starts[some]) / np.maximum(total, 1)[:, None]
-        return out
+        return out, lengths
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -167,12 +187,17 @@ def _targets(labels: DataFrame, subjects: list[str], doc: str, subject: str, ann
 
 
 def fitted_model(docs: DataFrame, labels: DataFrame, subjects: DataFrame, doc: str = "doc_id", text: str = "text", subject: str = "subject", annotator: str = "annotator", labelled_docs: int = LABELLED_DOCS) -> Model:
-    """A model from a bounded sample of the labelled documents; without labels every logit is strongly negative."""
+    """A model from a bounded sample of the labelled documents; without labels every logit is strongly negative.
+
+    More than MAX_SUBJECTS subjects raise ValueError.
+    """
     spark = docs.sparkSession
-    names = sorted({r[0].strip().lower() for r in subjects.select(subject).filter(F.col(subject).isNotNull()).limit(10_000).collect()})
+    names = sorted({r[0].strip().lower() for r in subjects.select(subject).filter(F.col(subject).isNotNull()).distinct().limit(MAX_SUBJECTS + 1).collect()})
+    if len(names) > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     targets = _targets(labels, names, doc, subject, annotator, labelled_docs)
     sample = docs.filter(F.col(text).isNotNull()).select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).join(small(targets), "_doc").select("_text", "targets")
-    sample = written(spark, sample.repartition(max(1, min(8, spark.sparkContext.defaultParallelism))), "labelled")
+    sample = written(spark, sample.repartition(max(1, min(GRADIENT_PARTS, spark.sparkContext.defaultParallelism))), "labelled")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,9 +256,9 @@ _FOUND = pa.schema([("_doc", pa.int64()), ("subject", pa.string()), ("n_sentence
 def document_subjects(docs: DataFrame, model: Model, doc: str = "doc_id", text: str = "text", share: float = SHARE, at_most: int = 2) -> DataFrame:
     """(doc, subject, n_sentences, share): the subjects that at least `share` of a document's sentences are about.
 
-    Each sentence is about its likeliest subject, if that is likelier than not, or about none; where more than `at_most`
-    reach the share, the largest count, ties by name. Null, empty and wordless texts are about nothing; equal texts get
-    equal subjects; long texts are read whole; other columns are ignored.
+    Each output stands for itself: a sentence is about every subject that is likelier than not; where more than `at_most`
+    reach the share, the largest count, then the larger mean logit, then the name decides. Null, empty and wordless texts
+    are about nothing; equal texts get equal subjects; long texts are read whole; other columns are ignored.
     """
     state = docs.sparkSession.sparkContext.broadcast((model.subjects, sorted(model.features, key=model.features.get), model.table[:-1], model.bias))
 
@@ -241,15 +266,15 @@ def document_subjects(docs: DataFrame, model: Model, doc: str = "doc_id", text:
         own = Model(*state.value)
         for batch in batches:
             out: list[list] = [[] for _ in _FOUND.names]
-            split = [(k, s) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if own.subjects and (s := [w for x in sentences_of(t) if (w := words_of(x))])]
-            logits = own.logits([w for _, s in split for w in s])
-            best = np.where(logits.max(1, initial=-1) > 0, logits.argmax(1), -1) if len(logits) else np.zeros(0, int)
+            split = [(k, s) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if own.subjects and (s := sentences_of(t))]
+            logits, words = own.logits([x for _, s in split for x in s]) if split else (np.zeros((0, 0)), np.zeros(0))
             at = 0
             for k, s in split:
-                counts = np.bincount(best[at : at + len(s)] + 1, minlength=len(own.subjects) + 1)[1:]
+                z = logits[at : at + len(s)][words[at : at + len(s)] > 0]
                 at += len(s)
-                for j in sorted(np.flatnonzero(counts >= share * len(s) - 1e-9), key=lambda j: (-counts[j], j))[:at_most]:
-                    for column, x in zip(out, (k, own.subjects[j], int(counts[j]), counts[j] / len(s))):
+                counts = (z > 0).sum(0)
+                for j in sorted(np.flatnonzero((counts > 0) & (counts >= share * len(z) - 1e-9)), key=lambda j: (-counts[j], -z[:, j].sum(), j))[:at_most]:
+                    for column, x in zip(out, (k, own.subjects[j], int(counts[j]), counts[j] / len(z))):
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _FOUND.types)], schema=_FOUND)
 
