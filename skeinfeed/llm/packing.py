@@ -1,9 +1,10 @@
 """Texts of varying length into containers of a fixed number of tokens.
 
 Best fit with conflicts: texts come longest first, bins are ordered by what is left in them, and the search goes on from
-the tightest bin a text fits into to the next until one holds no copy of the text. Bins carry bitmaps of the sources and
-of the clusters of equal texts they hold. Partitions of bounded size are packed on their own, then the texts of bins that
-stayed slack are packed again together.
+the tightest bin a text fits into to the next until one is compatible: no bin holds two copies of a text, and, if asked
+for, no two texts of one source. Bins carry bitmaps of the sources and of the clusters of equal texts they hold. Copies are
+equally long and come one after the other, so a cluster of any size takes its bins in one walk. Partitions of bounded size
+are packed on their own, then the texts of bins that stayed slack are packed again together, as long as they grow fewer.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skeinfeed.session import written
+from skeinfeed.session import released, written
 
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -26,8 +27,6 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 GROUP_PIECES = 30_000
 #: Bins at least so full are done; the pieces of the others are packed again.
 FULL = 0.98
-#: Rounds of packing slack bins again.
-AGAIN = 2
 # Fixed value: the pattern that parts text before byte-pair merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _CHUNK = re.compile(r"\s*\S+|\s+")
@@ -82,39 +81,47 @@ class Tokens:
         return len(self.encoding.encode_ordinary(text))
 
 
-def best_fit(pieces: list[tuple[int, int, int]], capacity: int) -> list[int]:
-    """The bin of each piece of (tokens, cluster number, source number); cluster 0 has no copies. Longest first, ties in the given order."""
-    order = sorted(range(len(pieces)), key=lambda i: (-pieces[i][0], i))
-    bins: list[list[int]] = []  # what is left, bitmap of clusters, bitmap of sources
+def best_fit(pieces: list[tuple[int, int, int]], capacity: int, sources_apart: bool = False) -> list[int]:
+    """The bin of each piece of (tokens, cluster number, source number); cluster 0 has no copies. Longest first, then by cluster, ties in the given order."""
+    order = sorted(range(len(pieces)), key=lambda i: (-pieces[i][0], pieces[i][1], i))
+    residual, clusters, sources = [], [], []  # of each bin: what is left, bitmaps of the clusters and sources it holds
     left: list[tuple[int, int]] = []  # (what is left, bin), ascending
     place = [0] * len(pieces)
-
-    def taken(at: int, cluster: int) -> bool:
-        return cluster > 0 and bool(bins[left[at][1]][1] >> cluster & 1)
-
-    for i in order:
-        size, cluster, source = pieces[i]
-        at = bisect.bisect_left(left, (size, -1))
-        # bins whose cluster bitmap has the bit already hold a copy: on to the next tightest
-        while at < len(left) and taken(at, cluster):
-            at += 1
-        if at == len(left):
-            b = len(bins)
-            bins.append([capacity, 0, 0])
+    k = 0
+    while k < len(order):
+        size, cluster, _ = pieces[order[k]]
+        run = k + 1
+        while cluster and not sources_apart and run < len(order) and pieces[order[run]][:2] == (size, cluster):
+            run += 1
+        # copies that differ in nothing else, one after the other: each takes the next tightest compatible bin behind the one before it
+        start = at = bisect.bisect_left(left, (size, -1))
+        passed, filled = [], []
+        for i in order[k:run]:
+            cluster_bit, source_bit = 1 << cluster if cluster else 0, 1 << pieces[i][2]
+            while at < len(left) and (clusters[left[at][1]] & cluster_bit or (sources_apart and sources[left[at][1]] & source_bit)):
+                passed.append(left[at])
+                at += 1
+            if at < len(left):
+                b = left[at][1]
+                at += 1
+            else:
+                b = len(residual)
+                residual.append(capacity), clusters.append(0), sources.append(0)
+            residual[b] -= size
+            clusters[b] |= cluster_bit
+            sources[b] |= source_bit
+            place[i] = b
+            if residual[b] > 0:
+                filled.append((residual[b], b))
+        if run - k == 1:
+            if at > start and (not passed or passed[-1] != left[at - 1]):
+                del left[at - 1]
+            for x in filled:
+                bisect.insort(left, x)
         else:
-            # of equally tight compatible bins the first without this source
-            probe = at
-            while probe < len(left) and probe < at + 8 and left[probe][0] == left[at][0] and (taken(probe, cluster) or bins[left[probe][1]][2] >> source & 1):
-                probe += 1
-            if probe < min(len(left), at + 8) and left[probe][0] == left[at][0]:
-                at = probe
-            b = left.pop(at)[1]
-        bins[b][0] -= size
-        bins[b][1] |= (1 << cluster) if cluster else 0
-        bins[b][2] |= 1 << source
-        place[i] = b
-        if bins[b][0] > 0:
-            bisect.insort(left, (bins[b][0], b))
+            left[start:at] = passed
+            left = sorted(left + filled)  # two sorted runs
+        k = run
     return place
 
 
@@ -129,11 +136,11 @@ def _numbered(values: list, once: bool) -> list[int]:
 _PIECE = "doc_id bigint, part_no int, first_char int, end_char int, n_tokens int, cluster bigint, source_hash bigint"
 
 
-def packed_texts(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def packed_texts(docs: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", capacity: int = CAPACITY, tokenizer: str = TOKENIZER, group_pieces: int = GROUP_PIECES, sources_apart: bool = False) -> DataFrame:
     """(container_id, doc, part_no, first_char, end_char, n_tokens): every text's container.
 
     A text is divided only if it alone exceeds the capacity, between words where it can; its parts join to the whole.
-    Copies of a text never share a container. Null and empty texts have no tokens and no container; null sources count
+    Copies of a text never share a container; with sources_apart neither do texts of one source. Null and empty texts have no tokens and no container; null sources count
     as one source; other columns are ignored. Ties go by id and part.
     """
     spark = docs.sparkSession
@@ -158,25 +165,27 @@ def packed_texts(docs: DataFrame, doc: str = "doc_id", text: str = "text", sourc
         def pack(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
             group = group.drop_columns(["_group"]).sort_by([("doc_id", "ascending"), ("part_no", "ascending")])
             clusters, sources = _numbered(group.column("cluster").to_pylist(), True), _numbered(group.column("source_hash").to_pylist(), False)
-            place = best_fit(list(zip(group.column("n_tokens").to_pylist(), clusters, sources)), capacity)
+            place = best_fit(list(zip(group.column("n_tokens").to_pylist(), clusters, sources)), capacity, sources_apart)
             ids = pa.array([(first + key[0].as_py()) * (1 << 24) + b for b in place], pa.int64())
             return pa.Table.from_arrays([ids, *group.columns], schema=out)
 
         return pack
 
-    done, rest, first = [], pieces, 1
-    for turn in range(AGAIN + 1):
+    done, rest, first, before = [], pieces, 1, None
+    while True:
         n = rest.count()
         groups = max(1, -(-n // group_pieces))
         result = written(spark, group_of(rest, groups).groupBy("_group").applyInArrow(packed(first), f"container_id bigint, {_PIECE}"), "packed")
         first += groups
-        if groups == 1 or turn == AGAIN:
+        if groups == 1 or (before is not None and n > before / 2):
             done.append(result)
             break
+        before = n
         full = result.groupBy("container_id").agg(F.sum("n_tokens").alias("_sum")).withColumn("_full", F.col("_sum") >= FULL * capacity).drop("_sum")
-        marked = result.join(full, "container_id")
+        marked = written(spark, result.join(full, "container_id"), "packed-full")
         done.append(marked.filter("_full").drop("_full"))
         rest = marked.filter("not _full").drop("_full", "container_id")
+        released(result)
     union = done[0]
     for d in done[1:]:
         union = union.unionByName(d)
