@@ -157,25 +157,34 @@ def _spelled(text: str, escaped: bool) -> str:
     return json.dumps(text, ensure_ascii=escaped)[1:-1]
 
 
-def _replaced(text: str, pairs: list[tuple[str, str]]) -> str:
-    for token, original in pairs:
-        text = text.replace(token, original)
-    return text
+def _replaced(text: str, pairs: dict[str, str]) -> str:
+    """`text` with its tokens replaced, each as a whole: a token that stands within another word stays there."""
+
+    def back(m: re.Match) -> str:
+        token = m[0].strip(_EDGE)
+        return m[0].replace(token, pairs[token], 1) if token in pairs else m[0]
+
+    return _PARTS.sub(back, text)
 
 
-def restored_json(data: str, pairs: list[tuple[str, str]]) -> str:
+def restored_json(data: str, pairs: dict[str, str]) -> str:
     """`data` with tokens replaced within its decoded strings; a string is written back as it was, with \\uXXXX where it had them.
 
-    Of broken JSON the tokens are replaced as they stand there and in their escaped spellings.
+    Of broken JSON the tokens are replaced as they stand there, escaped ones by escaped ones.
     """
     try:
         json.loads(data)
     except ValueError:
-        for token, original in pairs:
-            data = data.replace(token, original)
-            spelling = "".join(re.escape(c) if c.isascii() else "".join(rf"\\u(?i:{u:04x})" for u in _units(c)) for c in token)
-            data = re.sub(spelling, lambda _: _spelled(original, True), data)
-        return data
+
+        def part(m: re.Match) -> str:
+            plain = json_text(m[0])
+            token = plain.strip(_EDGE)
+            if token not in pairs:
+                return m[0]
+            original = _spelled(pairs[token], True) if "\\u" in m[0] else pairs[token]
+            return plain.replace(token, original, 1)
+
+        return _PARTS.sub(part, data)
 
     def string(m: re.Match) -> str:
         text = json.loads(m[0], strict=False)
@@ -185,11 +194,6 @@ def restored_json(data: str, pairs: list[tuple[str, str]]) -> str:
     return _STRING.sub(string, data)
 
 
-def _units(c: str) -> list[int]:
-    raw = c.encode("utf-16-be", "surrogatepass")
-    return [raw[i] << 8 | raw[i + 1] for i in range(0, len(raw), 2)]
-
-
 _SPLIT = re.compile(r"[\x00- ]+")
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -318,7 +322,7 @@ def restored_fields(fields: DataFrame) -> DataFrame:
             out = []
             for field, text, pairs in zip(*(batch.column(n).to_pylist() for n in ("field_name", "text", "_pairs"))):
                 if pairs:
-                    pairs = sorted(pairs, key=lambda p: -len(p[0]))
+                    pairs = dict(pairs)
                     text = restored_json(text, pairs) if field == "data" else _replaced(text, pairs)
                 out.append(text)
             kept = batch.select([n for n in batch.schema.names if n != "_pairs"])
