@@ -14,14 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinfeed.llm.page_lines import is_figures, runs_on, without_mark
 from skeinfeed.llm.truncation import story_lines
 
-#: Rows of each stated language that the trees are built from: a bounded sample, chosen by hash.
-TRAIN_ROWS = 2_500
+#: Rows of each stated language that the trees are built from: a bounded sample, chosen by hash, of texts up to so many characters.
+TRAIN_ROWS, TRAIN_CHARS = 2_500, 50_000
 ORDER = 4
 #: Bits by which the best language must lead for a sentence to count; below, the sentence follows its neighbours.
 LEAD_BITS = 8.0
@@ -47,7 +47,7 @@ def sentences_of(text: str) -> list[str]:
     sure = [line for line, kind, _ in lines if kind is False or runs_on(line)]
     if not sure:
         sure = [lines[0][0]] if len(lines) == 1 and "\n" not in text.strip() else []
-    return [s for line in sure if len(line) > 200 or not is_figures(line) for s in _SENTENCE.split(without_mark(line)[0]) if s]
+    return [s for line in sure for s in _SENTENCE.split(without_mark(line)[0]) if s and not is_figures(s)]
 
 
 def words_of(sentence: str) -> list[str]:
@@ -161,15 +161,18 @@ def trained_trees(rows: DataFrame, key: str = "row_id", text: str = "content", l
     """
     stated = F.lower(F.regexp_extract(F.trim(F.col(label)), r"^([A-Za-z]+)", 1))
     code = F.create_map(*(x for w, c in _CODES.items() for x in (F.lit(w), F.lit(c))))[stated]
-    picked = rows.filter(F.col(text).isNotNull() & (F.trim(text) != "")).select(code.alias("c"), F.col(text).alias("t"), F.xxhash64(F.col(key)).alias("h")).filter("c is not null")
+    labelled = rows.select(code.alias("c"), F.col(text).alias("t"), F.xxhash64(F.col(key)).alias("h")).filter("c is not null")
     sentences: list[tuple[str, list[str], bool]] = []
-    there = {r["c"]: r["n"] for r in picked.groupBy("c").agg(F.count("*").alias("n")).collect()}
-    for c in STATED:
-        # the smallest hashes lie within this part of their range; without it each task would send its own smallest
-        part = min(1.0, 4 * train_rows / max(1, there.get(c, 0)))
-        within = F.col("h") < int(-(2**63) + part * 2**64) if part < 1 else F.lit(True)
-        for r in picked.filter((F.col("c") == c) & within).orderBy("h").limit(train_rows).collect():
-            sentences += [(c, w, _latin(w)) for s in sentences_of(r["t"]) if len(w := words_of(s)) >= 3]
+    there = {r["c"]: r["n"] for r in labelled.groupBy("c").agg(F.count("*").alias("n")).collect()}
+    # one scan for all languages: of each the hashes within a part of their range that holds twice the rows wanted
+    parts = {c: min(1.0, 2 * train_rows / n) for c, n in there.items()}
+    top = F.create_map(*(x for c, part in parts.items() for x in (F.lit(c), F.lit(min(2**63 - 1, int(-(2**63) + part * 2**64)))))) if parts else F.create_map()
+    sample = labelled.filter(F.col("h") <= top[F.col("c")]).filter((F.length("t") <= TRAIN_CHARS) & (F.trim("t") != "")) if parts else labelled.limit(0)
+    # the smallest hashes of each, by a rank that every task applies before rows are sent
+    ranked = sample.withColumn("n", F.row_number().over(Window.partitionBy("c").orderBy("h", "t"))).filter(F.col("n") <= train_rows)
+    for r in sorted(ranked.select("c", "t", "n").collect(), key=lambda r: (list(STATED).index(r["c"]), r["n"])):
+        c = r["c"]
+        sentences += [(c, w, _latin(w)) for s in sentences_of(r["t"]) if len(w := words_of(s)) >= 3]
     latin = {c for c in STATED if 2 * sum(f for k, _, f in sentences if k == c) > sum(k == c for k, _, _ in sentences)}
 
     def built(labels: list[str]) -> Trees:

@@ -83,7 +83,7 @@ def is_menu(raw: str) -> bool:
     if not ("|" in raw or "  " in raw or "·" in raw or "•" in raw or "\t" in raw):
         return False
     entries = [e.strip() for e in _MENU_PARTS.split(raw) if e.strip()]
-    return len(entries) >= 2 and sum(bool(_MENU_WORDS.fullmatch(e)) for e in entries) * 2 >= len(entries) or (raw.count("|") >= 2 and not is_figures(raw) and not ENDS.search(raw) and len(raw) < 200)
+    return len(entries) >= 2 and sum(bool(_MENU_WORDS.fullmatch(e)) for e in entries) * 2 >= len(entries) or (raw.count("|") >= 2 and not is_figures(raw) and not ENDS.search(raw))
 
 
 def _automaton():
@@ -125,19 +125,19 @@ def _kind_of(line: str) -> bool | None:
     ended = ENDS.search(text[-12:]) is not None
     if ended and _QUOTED.match(text):
         return False  # speech
-    if _has_phrase(text):
-        return len(text) <= 500 or not ended
-    if len(text) <= 220:
-        if is_menu(line):
-            return True
-        if not (ended and len(text) > 130) and _LINE.fullmatch(text):
-            return True
-        if ":" in text and _LABEL.fullmatch(text):
-            return not (ended and is_figures(text))
-        if is_figures(text):
-            return False
-        if not ended and (">" in text or "›" in text or "»" in text or "/" in text) and _CRUMBS.fullmatch(text):
-            return True
+    if _LINE.fullmatch(text):
+        return True
+    # paragraphs of three and more whole sentences are prose, whatever words they hold
+    if ended and len(_INNER_END.findall(text)) > 1:
+        return False
+    if _has_phrase(text) or is_menu(line):
+        return True
+    if ":" in text and _LABEL.fullmatch(text):
+        return not (ended and is_figures(text))
+    if is_figures(text):
+        return False
+    if not ended and (">" in text or "›" in text or "»" in text or "/" in text) and _CRUMBS.fullmatch(text):
+        return True
     return False if ended else None
 
 
@@ -145,9 +145,9 @@ def _kind_of(line: str) -> bool | None:
 _kind_of_short = functools.lru_cache(maxsize=100_000)(_kind_of)
 
 
+_INNER_END = re.compile(r"[.!?।][\"'”“’»)]*\s+\S")
 #: Marks that feeds put where they cut a text.
 CUT_MARK = re.compile(r"(?:\s*\[\s*\+?\s*(?:\d+\s*\w*|…|\.\.\.)\s*\]|\s*(?:\(\s*)?(?:read more|continue reading|weiterlesen|lire la suite|leer más|seguir leyendo|ఇంకా చదవండి|और पढ़ें)\s*\)?[.…»>]*)\s*$", re.I)
-_INNER_END = re.compile(r"[.!?।][\"'”“’»)]*\s+\S")
 
 
 def without_mark(text: str) -> tuple[str, bool]:
