@@ -10,10 +10,10 @@ from skeinfeed.llm.languages import language_segments, unstated_languages
 from skeinfeed.llm.leakage import contained_items
 from skeinfeed.llm.packing import packed_texts
 from skeinfeed.llm.page_body import boilerplate_lines, main_body
-from skeinfeed.llm.source_lines import LineCounts
+from skeinfeed.llm.source_lines import LineCounts, numbered_lines
 from skeinfeed.llm.subjects import document_subjects, fitted_model
 from skeinfeed.llm.truncation import truncated_values, truncation_report
-from skeinfeed.session import spread, table
+from skeinfeed.session import small, spread, table, written
 
 
 def _articles(spark: SparkSession, d: str) -> DataFrame:
@@ -56,25 +56,38 @@ def p6_body(spark: SparkSession, d: str) -> DataFrame:
     return main_body(table(spark, d, "articles").select("row_id", "url", "source", "content")).select("row_id", "content")
 
 
-def _counted(spark: SparkSession, d: str) -> tuple[LineCounts, DataFrame]:
-    """Line counts built as they grow: all earlier months as the base, the last month of fetching as a delta."""
-    rows = table(spark, d, "articles").select("row_id", "article_id", "source", "content", "timestamp")
-    month = F.substring(F.col("timestamp"), 1, 7)
-    last = rows.agg(F.max(month)).first()[0] or ""
+def _counted(spark: SparkSession, d: str, rebuild: bool = False) -> tuple[LineCounts, DataFrame, DataFrame | None]:
+    """Line counts built as they grow: all earlier months as the base, the last month of fetching as a delta.
+
+    Lines are split and hashed once. With `rebuild` the base is rebuilt before the delta comes, and then only the rows
+    of the delta and those holding a line that it made cross the threshold.
+    """
+    month = F.coalesce(F.substring(F.col("timestamp"), 1, 7), F.lit(""))
+    rows = spread(table(spark, d, "articles").select("row_id", "article_id", "source", "content", month.alias("_month")))
+    members = table(spark, d, "articles").select("article_id", "source", month.alias("_month"))
+    lines = written(spark, numbered_lines(rows, "row_id", "content", "source", "article_id", ["_month"]), "numbered-lines")
+    last = members.agg(F.max("_month")).first()[0] or ""
     counts = LineCounts(spark)
-    counts.update(rows.filter(F.coalesce(month, F.lit("")) < last))
-    counts.update(rows.filter(F.coalesce(month, F.lit("")) >= last))
-    return counts, rows
+    early, late = F.col("_month") < last, F.col("_month") >= last
+    counts.update(members.filter(early), lines.filter(early), report=False)
+    built = None
+    if rebuild:
+        built = written(spark, counts.rebuilt(rows.filter(early), lines=lines.filter(early)), "rebuilt-base")
+    changed = counts.update(members.filter(late), lines.filter(late), report=rebuild)
+    if rebuild:
+        held = written(spark, counts.holding(lines.filter(early), changed), "rows-changed")
+        again = rows.filter(late).unionByName(rows.filter(early).join(small(held), "row_id", "left_semi"))
+        built = built.join(small(held), "row_id", "left_anti").unionByName(counts.rebuilt(again, lines=lines))
+    return counts, lines, built
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    counts, rows = _counted(spark, d)
-    return counts.occurrences(rows)
+    counts, lines, _ = _counted(spark, d)
+    return counts.occurrences(lines, lines=lines)
 
 
 def p7_rebuilt(spark: SparkSession, d: str) -> DataFrame:
-    counts, rows = _counted(spark, d)
-    return counts.rebuilt(rows).select("row_id", "content")
+    return _counted(spark, d, rebuild=True)[2].select("row_id", "content")
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:

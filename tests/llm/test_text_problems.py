@@ -67,6 +67,12 @@ def test_escaped_json_is_restored(spark):
     assert back == {1: '{"a": "caf\\u00e9 \\"x\\" y", "n": [1.50]}', 2: '{"broken": "caf\\u00e9 y', 3: '{"a": "café y"}', 4: rows[3][3], 5: '{"a": "caf\\u00e9", "b": "café"}'}
 
 
+def test_tokens_are_replaced_as_a_whole():
+    assert G._replaced("Ã© (Ã©) xÃ© Ã©t", {"Ã©": "é"}) == "é (é) xÃ© Ã©t"
+    assert G.restored_json('{"a": "Ã©t Ã©,"}', {"Ã©": "é"}) == '{"a": "Ã©t é,"}'
+    assert G.restored_json('{"a": "\\u00c3\\u00a9t \\u00c3\\u00a9', {"Ã©": "é"}) == '{"a": "\\u00c3\\u00a9t \\u00e9'
+
+
 # --- 4: cut texts -----------------------------------------------------------------------------------------------------
 
 
@@ -264,10 +270,10 @@ def test_lines_against_counting_by_hand(spark):
         rows.append((i, "s", "t", None, "\n".join([say(rng.choice(frame)) for _ in range(rng.randrange(3))] + story + [""] + [say(rng.choice(frame)) for _ in range(rng.randrange(3))]), f"https://{rng.choice('ab')}.example/1", "en", "x"))
     rows += [(500 + i, *r[1:]) for i, r in enumerate(rows[:10])] + [(600, "s", "t", None, "All rights reserved by Nolo\nA quiet day in Oz.", "https://c.example/1", "en", "x")]
     df = spark.createDataFrame(rows, ARTICLES)
-    for phrases in (True, False):
-        got = [{(r["row_id"], r["line_no"]) for r in boilerplate_lines(df, block_bytes=n, phrases=phrases).collect()} for n in (1, 900, 4_000_000)]
+    for phrases, sizes in ((True, (1, 900, 4_000_000)), (False, (4_000_000,))):
+        got = [{(r["row_id"], r["line_no"]) for r in boilerplate_lines(df, block_bytes=n, phrases=phrases).collect()} for n in sizes]
         want = furniture_by_hand([(r[0], r[5][:17], r[4]) for r in rows], phrases)
-        assert got[0] == got[1] == got[2] == want and ((600, 1) in want) == phrases
+        assert all(x == want for x in got) and ((600, 1) in want) == phrases
     lines = {(r[0], n): x for r in rows for n, x in enumerate(r[4].split("\n"), 1) if x}
     framed = {k for k, x in lines.items() if x.startswith(("Share", "Daily", "We keep", "Call"))}
     assert len(want & framed) >= 0.9 * len(framed) and len(want & framed) >= 0.9 * len(want)
@@ -309,6 +315,26 @@ def test_line_counts_grow_as_from_scratch(spark):
     assert empty.update(df.limit(0)).collect() == [] and empty.occurrences(df).collect() == []
 
 
+def test_line_counts_last_and_merge(spark, tmp_path):
+    """Objects that go on with one path give what one object gives, across merged versions and broken updates; only rows with changed lines are rebuilt."""
+    path, lines = str(tmp_path / "counts"), ["legal notice", "share this", "line a", "line b"]
+    rows = [(i, f"d{i}", "s", f"{lines[i % 4]}\nstory {i}" + "\nA rare note." * (i in (1, 2, 3, 4, 9))) for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id long, article_id string, source string, content string")
+    one = LineCounts(spark)
+    one.update(df)
+    for k in range(10):
+        part = df.filter(f"row_id % 10 = {k}")
+        if k == 4:
+            LineCounts(spark, path)._write("totals", spark.createDataFrame([("s", 1000)], "source_key string, n long"), 5)  # without a mark
+        changed = LineCounts(spark, path).update(part)
+    last = LineCounts(spark, path)
+    assert {tuple(r) for r in last.excessive().collect()} == {tuple(r) for r in one.excessive().collect()} and len(last.versions) < 8
+    rebuilt = {r["row_id"]: r["content"] for r in last.rebuilt(df).collect()}
+    assert rebuilt == {i: f"story {i}" for i in range(40)}
+    assert [r["excessive"] for r in changed.collect()] == [True]
+    assert {r["row_id"]: r["content"] for r in last.rebuilt(df, changed=changed).collect()} == {i: f"story {i}" for i in (1, 2, 3, 4, 9)}
+
+
 # --- 8: containers ----------------------------------------------------------------------------------------------------
 
 
@@ -323,6 +349,37 @@ def test_best_fit_keeps_copies_apart():
     assert all(len([c for _, c in x if c]) == len({c for _, c in x if c}) for x in bins.values())
 
 
+def plain_best_fit(pieces, capacity, apart):
+    bins, place = [], [0] * len(pieces)
+    for i in sorted(range(len(pieces)), key=lambda i: (-pieces[i][0], pieces[i][1], i)):
+        n, c, s = pieces[i]
+        fit = min(((b[0], k) for k, b in enumerate(bins) if b[0] >= n and not (c and c in b[1]) and not (apart and s in b[2])), default=None)
+        if fit is None:
+            bins.append([capacity, set(), set()])
+        k = len(bins) - 1 if fit is None else fit[1]
+        bins[k][0] -= n
+        bins[k][1].add(c), bins[k][2].add(s)
+        place[i] = k
+    return place
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_best_fit_against_a_plain_search(apart):
+    rng = random.Random(11)
+    for _ in range(100):
+        sizes = {c: rng.randint(1, 100) for c in range(1, 6)}
+        pieces = [(sizes.get(c) or rng.randint(1, 100), c, rng.randrange(4)) for c in (rng.choice([0, 0, 1, 2, 3, 4, 5]) for _ in range(rng.randint(1, 80)))]
+        assert best_fit(pieces, 100, apart) == plain_best_fit(pieces, 100, apart)
+
+
+def test_a_third_of_copies_packs_in_one_walk():
+    import time
+
+    began = time.perf_counter()
+    place = best_fit([(50, 1, 1)] * 30_000 + [(20, 0, 2)] * 60_000, 2048)
+    assert len(set(place[:30_000])) == 30_000 and time.perf_counter() - began < 20
+
+
 def test_containers_hold_every_text(spark):
     rng = random.Random(7)
     texts = [" ".join(rng.choice(["rain", "తెలుగు", "étude", "x" * 9]) for _ in range(rng.randint(1, 900))) for _ in range(60)] + ["same text"] * 5 + ["a" * 30_000, "", None]
@@ -375,6 +432,9 @@ def test_leaks_against_brute_force(spark):
             if any(f" {' '.join(w[a : a + 13])} " in flat for a in range(len(w) - 12)):
                 want.add((i, k))
     assert set(got) == want and want
+    schema = "item_id long, benchmark string, lang string, text string"
+    assert {tuple(r) for r in contained_items(df, spark.createDataFrame(items, schema), block_chars=300).collect()} == {tuple(r) for r in got.values()}
+    assert contained_items(df, spark.createDataFrame([], schema)).collect() == []
     text = dict(docs)
     for (i, k), r in got.items():
         span = plain_words(text[k][r["first_char"] : r["end_char"]])
@@ -412,6 +472,20 @@ def test_subjects_on_held_out_documents(spark):
     assert got[1002] == {"law"} and not {1000, 1001, 1003} & set(got)
 
 
+def test_outputs_are_independent(spark):
+    """A sentence with words of two subjects counts for both."""
+    model = Model(["law", "sports"], ["court", "goal"], np.asarray([[20, -1], [-1, 20]], np.float32), np.full(2, -2.0))
+    docs = spark.createDataFrame([(1, "The court saw a goal. Nobody spoke."), (2, "Rain fell.")], "doc_id long, text string")
+    assert {(r["doc_id"], r["subject"], r["n_sentences"]) for r in document_subjects(docs, model).collect()} == {(1, "law", 1), (1, "sports", 1)}
+
+
+def test_too_many_subjects_raise(spark, monkeypatch):
+    docs, labels, subjects, _ = corpus(spark, 10)
+    monkeypatch.setattr("skeinfeed.llm.subjects.MAX_SUBJECTS", 1)
+    with pytest.raises(ValueError):
+        fitted_model(docs, labels, subjects)
+
+
 def test_subjects_without_labels_or_documents(spark):
     docs, labels, subjects, _ = corpus(spark, 10)
     assert document_subjects(docs, fitted_model(docs, labels.limit(0), subjects)).collect() == []
