@@ -20,11 +20,21 @@ _BLANK_LINE = r"\n{2,}"
 def fused(pieces) -> str:
     """One alternation of patterns, those with the same first letter under it, so that most positions fail at one look."""
     by_first: dict[str, list[str]] = {}
+    groups = []
     for p in pieces:
-        n = 2 if p[0] == "\\" else 1
-        by_first.setdefault(p[:n], []).append(p[n:])
-    firsts = "".join(by_first)
-    return f"(?=[{firsts}])(?:{'|'.join(f'{a}(?:{chr(124).join(rest)})' for a, rest in by_first.items())})"
+        n = 3 if p.startswith(r"\b") else 2 if p[0] == "\\" else 1
+        if p[n - 1 : n] == "(" or p[n : n + 1] in tuple("*+?{"):  # no single first letter
+            groups.append(p)
+        else:
+            by_first.setdefault(p[:n], []).append(p[n:])
+    firsts = "".join(dict.fromkeys(a.removeprefix(r"\b") for a in by_first))
+    plain = "|".join(f"{a}(?:{chr(124).join(rest)})" for a, rest in by_first.items())
+    return f"(?:(?=[{firsts}])(?:{plain})" + "".join(f"|{g}" for g in groups) + ")"
+
+
+def phrase(words_: str) -> str:
+    """A pattern of these very characters."""
+    return "".join(c if c.isalnum() or c == " " or ord(c) > 127 else f"[{c}]" for c in words_)
 
 
 def text(c: Column) -> Column:
@@ -150,7 +160,7 @@ def article_image(url: Column) -> Column:
         path = F.split_part(F.lower(text(url)), F.lit("?"), F.lit(1))
         size = r"/(\d{1,9})x(\d{1,9})[.](gif|png)$"
         small = path.rlike(size) & ((F.regexp_extract(path, size, 1).try_cast("int") < 50) | (F.regexp_extract(path, size, 2).try_cast("int") < 50))
-        return image_url(url) & ~text(url).rlike(f"(?i)({'|'.join(L.NO_ARTICLE_IMAGE)})") & ~small
+        return image_url(url) & ~text(url).rlike(f"(?i)({L.NO_ARTICLE_IMAGE})") & ~small
 
     return let(text(url), of)
 
@@ -202,7 +212,7 @@ def garbage_sentence(c: Column) -> Column:
 
     def of(c: Column) -> Column:
         s = strip(c)
-        return (F.length(s) < 5) | s.rlike(r"^https?://\S+$") | F.lower(s).rlike(fused(L.GARBAGE_SENTENCES))
+        return (F.length(s) < 5) | s.rlike(r"(?i)^(https?://|www[.])\S+$") | F.lower(s).rlike(fused(L.GARBAGE_SENTENCES))
 
     return let(text(c), of)
 
@@ -226,9 +236,27 @@ def strip_symbols(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(signs, r"[ \t]{2,}", " "), rf"\n(?:[{WS}]*\n)+", "\n"))
 
 
+# The characters that code page 1252 shows for bytes 80 to 9F, and these bytes' own controls.
+_PAGE_1252 = "\u20ac\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\u017d\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\u017e\u0178"
+_CONTROLS = "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x93\x94\x95\x96\x97\x98\x99\x9a\x9b\x9c\x9e\x9f"
+#: The lead bytes of Telugu in UTF-8 as a single-byte page shows them.
+_TELUGU_LEADS = "à[°±]"
+
+
+def repaired_telugu(c: Column) -> Column:
+    """Telugu that was read in a single-byte page back as Telugu, word by word; words that do not decode stay as they are."""
+
+    def word(w: Column) -> Column:
+        one_byte = F.translate(w, _PAGE_1252, _CONTROLS)
+        raw = F.encode(F.when(w.rlike(_TELUGU_LEADS) & one_byte.rlike(r"^[\x00-\x{ff}]*$"), one_byte).otherwise(""), "ISO-8859-1").cast("string")
+        return F.when((raw != "") & F.is_valid_utf8(raw), raw).otherwise(w)
+
+    return let(text(c), lambda t: F.when(t.rlike(_TELUGU_LEADS), F.array_join(F.transform(F.split(t, " "), word), " ")).otherwise(t))
+
+
 def fix_encoding(c: Column) -> Column:
-    """Controls, invisible characters and the replacement character become a blank, as do HTML entities; script and style fragments go to the end of the line."""
-    t = F.regexp_replace(text(c), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}\x{ad}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}\x{feff}\x{fffd}]+", " ")
+    """Garbled Telugu is repaired. Controls, invisible characters and the replacement character become a blank, as do HTML entities; script and style fragments go to the end of the line."""
+    t = F.regexp_replace(repaired_telugu(c), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}\x{ad}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}\x{feff}\x{fffd}]+", " ")
     t = F.regexp_replace(t, r"&(#\d{1,7}|#x[0-9a-fA-F]{1,6}|[a-zA-Z]{2,31});", " ")
     return F.regexp_replace(t, r"(\bvar [a-z_]+ ?=|\bfunction ?\(|\bdocument\.|\bwindow\.|\b(color|font-size|margin|padding) ?: ?[#0-9])[^\n]*", "")
 
@@ -252,9 +280,11 @@ def without_summaries(c: Column) -> Column:
 def clean_metadata(c: Column) -> Column:
     """Bylines, dates, credits, navigation, notices and links taken out of running text; then junk phrases to the end of their line."""
     t = fix_encoding(c)
-    t = F.regexp_replace(t, rf"(?i)(?:\b{fused(L.METADATA_TO_STOP)}|©)[^\n.।]*[.।]?", "")
-    t = F.regexp_replace(t, rf"(?i){fused(L.METADATA_LINKS)}|\b(?=\d)(?:{'|'.join(L.METADATA_FIGURES)})", "")
-    t = F.regexp_replace(t, rf"(?i)(^|[{WS}।]){fused(L.JUNK_PHRASES)}[^\n।]*", "$1")
+    t = F.regexp_replace(t, rf"(?im)^(?:{'|'.join(L.METADATA_LINES)})[^\n.।]*$|^(?:https?://|www[.])\S+$", "")
+    t = F.regexp_replace(t, rf"(?i){fused(L.METADATA_TO_END)}[^\n।]*", "")
+    t = F.regexp_replace(t, rf"(?i){fused(L.METADATA_TO_STOP)}[^\n.।]*", "")
+    t = F.regexp_replace(t, rf"(?i){fused(L.METADATA_ITSELF)}|[.]{{3}}$", "")
+    t = F.regexp_replace(t, rf"(?i)(^|[{WS}।]){fused(map(phrase, L.JUNK_PHRASES))}[^\n।]*", "$1")
     return strip(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 

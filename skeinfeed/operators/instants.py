@@ -84,7 +84,7 @@ def _with_instant(rows: DataFrame, text: str, out: str) -> DataFrame:
     """`rows` (with _home_zone, _home_place and _date_order) with `out`; one step of columns builds on the one before."""
     pattern, replacement = _compiled()
     tidy = F.regexp_replace(F.col(text), r"(?U)^\s+|\s+$", "")
-    rows = rows.withColumn("_parts", F.split(F.regexp_replace(F.when(F.length(tidy) <= 100, tidy), pattern, replacement), _MARK))
+    rows = rows.withColumn("_parts", F.split(F.regexp_replace(tidy, pattern, replacement), _MARK))
     rows = rows.withColumn("_at", F.when(F.size("_parts") == len(PARTS) + 1, F.transform("_parts", lambda x: F.nullif(x, F.lit("")))))
     at = {name: F.get("_at", F.lit(i + 1)) for i, name in enumerate(PARTS)}
     number = lambda c: c.try_cast("bigint")
@@ -139,7 +139,7 @@ def normalised_instants(rows: DataFrame, sources: DataFrame, text: str = "publis
 
     Without zone the time is wall time in the home zone of its source (source null, unlisted or without a known zone: no
     result); of an hour that occurs twice the first pass, a skipped wall time with the offset before the change. Null,
-    empty and very long texts, days without a time, impossible dates and relative words give null. Sources compare
+    and empty texts, days without a time, impossible dates and relative words give null. Sources compare
     without case and outer blanks; a source listed twice counts once. Columns of `rows` keep names and values, an old
     column named `out` is replaced; names beginning with an underscore are kept for the operator's steps.
     """

@@ -137,11 +137,11 @@ where_articles("q_scrapeable", lambda: X.scrapeable(c("url")), f"SELECT row_id F
 _IMAGE = f"(regexp_matches({s_strip('image_url')}, '^https?://') AND (regexp_matches(split_part(lower({s_strip('image_url')}), '?', 1), '({'|'.join(e.replace('.', '[.]') for e in L.IMAGE_ENDS)})$') OR {s_hits('lower(' + s_strip('image_url') + ')', L.IMAGE_PARTS)} > 0))"
 where_articles("q_image_valid", lambda: X.image_url(c("image_url")), f"SELECT row_id FROM articles WHERE {_IMAGE}")
 _SMALL = rf"regexp_matches(split_part(lower({s_text('image_url')}), '?', 1), '/\d{{1,9}}x\d{{1,9}}[.](gif|png)$') AND (TRY_CAST(regexp_extract(split_part(lower({s_text('image_url')}), '?', 1), '/(\d{{1,9}})x(\d{{1,9}})[.](gif|png)$', 1) AS INTEGER) < 50 OR TRY_CAST(regexp_extract(split_part(lower({s_text('image_url')}), '?', 1), '/(\d{{1,9}})x(\d{{1,9}})[.](gif|png)$', 2) AS INTEGER) < 50)"
-where_articles("q_article_image", lambda: X.article_image(c("image_url")), f"SELECT row_id FROM articles WHERE {_IMAGE} AND NOT regexp_matches(coalesce(image_url, ''), '(?i)({'|'.join(L.NO_ARTICLE_IMAGE)})') AND NOT ({_SMALL})")
+where_articles("q_article_image", lambda: X.article_image(c("image_url")), f"SELECT row_id FROM articles WHERE {_IMAGE} AND NOT regexp_matches(coalesce(image_url, ''), '(?i)({L.NO_ARTICLE_IMAGE})') AND NOT ({_SMALL})")
 where_articles("q_fits_title", lambda: X.fits_title(c("content"), c("title")), rf"SELECT row_id FROM articles WHERE CASE WHEN coalesce(title, '') = '' THEN coalesce(content, '') <> '' ELSE len(list_filter(regexp_extract_all(lower(title), '[a-z\x{{0c00}}-\x{{0c7f}}]{{4,}}'), lambda w: contains(lower(coalesce(content, '')), w))) >= 1 END")
 where_articles("q_repeats_title", lambda: X.repeats_title(c("description"), c("title")), f"SELECT row_id FROM (SELECT row_id, lower({s_collapse('description')}) AS b, lower({s_collapse('title')}) AS t FROM articles) WHERE {_REPEATS}")
 _D_LOW = f"lower({s_strip('description')})"
-where_articles("q_garbage_sentence", lambda: X.garbage_sentence(c("description")), f"SELECT row_id FROM articles WHERE length({_D_LOW}) < 5 OR regexp_matches({_D_LOW}, '^https?://[^{X.WS}]+$') OR regexp_matches({_D_LOW}, '{'|'.join(L.GARBAGE_SENTENCES)}')")
+where_articles("q_garbage_sentence", lambda: X.garbage_sentence(c("description")), f"SELECT row_id FROM articles WHERE length({_D_LOW}) < 5 OR regexp_matches({_D_LOW}, '^(https?://|www[.])[^{X.WS}]+$') OR regexp_matches({_D_LOW}, '{'|'.join(L.GARBAGE_SENTENCES)}')")
 _S = s_strip("description")
 where_articles("q_noise_paragraph", lambda: X.noise_paragraph(c("description")), rf"SELECT row_id FROM articles WHERE length({_S}) < 5 OR {s_hits('lower(' + s_text('description') + ')', L.NOISE_WORDS)} >= 2 OR ({s_count('description')} <= 5 AND NOT regexp_matches({_S}, '[.!?।]') AND regexp_matches({_S}, '^[^\p{{Ll}}\p{{Lt}}]*\p{{Lu}}[^\p{{Ll}}\p{{Lt}}]*$'))")
 
@@ -343,7 +343,7 @@ def _xml(x: Column) -> Column:
 
 
 def _rendered(spark: SparkSession, d: str, item: Column, joint: str, head: str, tail: str) -> DataFrame:
-    """Articles written as one document for each thousand ids, in the order of their ids."""
+    """Articles written as one document for each 25 ids, in the order of their ids."""
     items = _articles(spark, d).select((F.col("row_id") / 25).cast("bigint").alias("doc"), "row_id", item.alias("item"))
     return items.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_id", "item"))), lambda x: x["item"]), joint).alias("v")).select(F.col("doc").cast("string").alias("path"), F.concat(F.lit(head), "v", F.lit(tail)).alias("value"))
 
