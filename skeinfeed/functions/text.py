@@ -43,7 +43,7 @@ def text(c: Column) -> Column:
 
 def let(c: Column, f) -> Column:
     """f(c) with c worked out once, however often f uses it."""
-    return F.transform(F.array(c), f)[0]
+    return F.transform(F.array(c), lambda v: f(v))[0]  # a function of two parameters would get the index too
 
 
 def strip(c: Column) -> Column:

@@ -82,9 +82,20 @@ def mark_language(rows: DataFrame, language: str) -> DataFrame:
     return rows.withColumn("language", F.lit(language))
 
 
+def or_else(first: DataFrame, second: DataFrame) -> DataFrame:
+    """`first`, or `second` where it is empty: for searches beyond the cache and requests repeated without a language."""
+    return first.unionByName(second.select(*first.columns).join(first.select(F.lit(1).alias("_some")).limit(1), F.lit(True), "left_anti"))
+
+
+def kept_counts(rows: DataFrame, as_of: Column, order: str = "row_id") -> DataFrame:
+    """(total, kept, dropped) of the filter smart_filter()."""
+    kept = smart_filter(rows, as_of, order).agg(F.count("*").alias("kept"))
+    return rows.agg(F.count("*").alias("total")).crossJoin(kept).select("total", "kept", (F.col("total") - F.col("kept")).alias("dropped"))
+
+
 def with_fallback(spark_rows: DataFrame, category: str, language: str) -> DataFrame:
     """The feed of a language, or, if it is empty, of the other one marked as this language."""
     own = spark_rows.filter((F.col("category") == category) & (F.col("language") == language))
     other = "en" if language == "te" else "te"
     rest = mark_language(spark_rows.filter((F.col("category") == category) & (F.col("language") == other)), language)
-    return own.unionByName(rest.join(own.select(F.lit(1).alias("_some")).limit(1), F.lit(True), "left_anti"))
+    return or_else(own, rest)

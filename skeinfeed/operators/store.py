@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skeinfeed.functions import text as X
 
@@ -47,6 +48,22 @@ def cached_entries(cache: DataFrame, valid: bool = True) -> DataFrame:
     return read.filter(good if valid else ~good).drop("_content")
 
 
+def ensured(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at `path`, made empty if there is none; columns it lacks come as nulls. Nothing is ever deleted."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    wanted = T._parse_datatype_string(schema)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        spark.createDataFrame([], wanted).write.parquet(path)
+    there = spark.read.parquet(path)
+    return there.select(*there.columns, *(F.lit(None).cast(f.dataType).alias(f.name) for f in wanted if f.name not in there.columns))
+
+
+def feed_put(feeds: DataFrame, new: DataFrame, keys: list[str], at: str = "cached_at") -> DataFrame:
+    """Cached feeds after a put: a feed that came with articles takes the place of its old one, an empty one leaves it."""
+    kept = new.filter(F.size("articles") > 0)
+    return upserted(feeds.unionByName(kept.select(*feeds.columns)), keys, at)
+
+
 def unexpired(feeds: DataFrame, now: Column, at: str = "cached_at", minutes: int = FEED_MINUTES) -> DataFrame:
     return feeds.filter(F.unix_micros(now) < F.unix_micros(F.col(at).cast("timestamp")) + minutes * 60_000_000)
 

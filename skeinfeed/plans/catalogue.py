@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinfeed.functions import lexicon as L
 from skeinfeed.functions import text as X
-from skeinfeed.operators import dedup, feed, store
+from skeinfeed.operators import dedup, feed, reader, store
 from skeinfeed.operators.rewrite import rewritten
 from skeinfeed.session import spread, table
 from skeinfeed.sources import feeds, pages
@@ -93,6 +93,8 @@ def s_key(x: str) -> str:
     return rf"regexp_replace(lower({s_text(x)}), '[^a-z0-9\x{{0c00}}-\x{{0c7f}}]', '', 'g')"
 
 
+#: The form encoding of the JVM: blanks as +, the star as it is, the tilde written out.
+S_ENCODED = "replace(replace(replace(url_encode(term), '%20', '+'), '%2A', '*'), '~', '%7E')"
 BOTH = "lower(coalesce(title, '') || ' ' || coalesce(description, ''))"
 ID = f"md5({s_strip('url')} || '|' || {s_strip('title')})"
 ENDS = r"[.!?।\"''\])]$"
@@ -121,7 +123,8 @@ of_articles("q_prompt_tier", lambda: {"tier": X.prompt_tier(X.word_count(c("cont
 _D, _BARE_D = s_strip("description"), "regexp_replace({}, '[.!?। ]+$', '')"
 _REPEATS = f"(b <> '' AND t <> '' AND (b = t OR {_BARE_D.format('b')} = {_BARE_D.format('t')}))"
 of_articles("q_card", lambda: {"card": X.card_text(c("description"), c("title")), "day": F.substring(X.text(c("published_at")), 1, 10)}, f"SELECT row_id, CASE WHEN {_REPEATS} THEN '' WHEN length(d) > 170 THEN regexp_replace(substr(d, 1, 170), ' [^ ]*$', '') || '…' ELSE d END AS card, substr(coalesce(published_at, ''), 1, 10) AS day FROM (SELECT *, lower({s_collapse('description')}) AS b, lower({s_collapse('title')}) AS t, {_D} AS d FROM articles)")
-of_articles("q_json_address", lambda: {"address": feeds.json_address("https://api.example", c("category"), c("language"), F.when(c("score") > 70, F.element_at(X.words(c("title")), 1)))})
+of_articles("q_json_address", lambda: {"address": feeds.json_address("https://api.example", c("category"), c("language"), F.when(c("score") > 70, F.element_at(X.words(c("title")), 1)))}, f"SELECT row_id, CASE WHEN coalesce(term, '') <> '' THEN 'https://api.example/search?q=' || {S_ENCODED} || lang || '&country=in' ELSE 'https://api.example/top-headlines?country=in' || lang || '&category=' || CASE WHEN category IN ({', '.join(map(q, feeds.JSON_CATEGORIES))}) THEN category ELSE 'general' END END || '&max=30&token=' AS address FROM (SELECT row_id, category, CASE WHEN score > 70 THEN {s_words('title')}[1] END AS term, CASE WHEN coalesce(language, '') <> '' THEN '&lang=' || language ELSE '' END AS lang FROM articles)")
+of_articles("q_news_address", lambda: {"address": feeds.news_address("https://news.example/rss", c("category"), c("language"), F.when(c("score") > 80, F.element_at(X.words(c("title")), 1)))}, f"SELECT row_id, CASE WHEN coalesce(term, '') <> '' THEN 'https://news.example/rss/search?q=' || {S_ENCODED} || '&' || own WHEN lower(coalesce(category, '')) IN ('general', 'eenadu', 'sakshi', 'andhrajyothi') THEN 'https://news.example/rss?' || own ELSE 'https://news.example/rss/headlines/section/topic/' || CASE WHEN lower(category) IN ({', '.join(map(q, feeds.TOPICS))}) THEN upper(category) ELSE 'WORLD' END || '?hl=en-IN&gl=IN&ceid=IN:en' END AS address FROM (SELECT row_id, category, CASE WHEN score > 80 THEN {s_words('title')}[1] END AS term, CASE WHEN language = 'te' THEN 'hl=te&gl=IN&ceid=IN:te' ELSE 'hl=en-IN&gl=IN&ceid=IN:en' END AS own FROM articles)")
 
 # --- predicates -------------------------------------------------------------------------------------------------------
 
@@ -163,12 +166,13 @@ of_articles("q_fix_encoding", lambda: {"text": X.fix_encoding(c("content"))})
 of_articles("q_without_summaries", lambda: {"text": X.without_summaries(c("content"))})
 of_articles("q_clean_metadata", lambda: {"text": X.clean_metadata(c("content"))}, heavy=True)
 of_articles("q_distinct_sentences", lambda: {"text": X.distinct_sentences(c("content"))}, heavy=True)
-of_articles("q_trailing_junk", lambda: {"text": X.without_trailing_junk(c("content"), "\n")})
+_JUNK = rf"NOT regexp_matches(p, '[.!?।]') AND {s_count('p')} <= 8 AND (regexp_matches(lower(p), '^({'|'.join(L.TRAILING_LABELS)})\b') OR ({s_count('p')} <= 3 AND NOT regexp_matches(p, '[\x{{0c00}}-\x{{0c7f}}]')) OR regexp_matches(p, '^https?://[^{X.WS}]+$'))"
+of_articles("q_trailing_junk", lambda: {"text": X.without_trailing_junk(c("content"), "\n")}, f"SELECT row_id, array_to_string(ps[:greatest(coalesce(list_max(list_transform(list_filter(range(1, len(ps) + 1), lambda i: NOT js[i]), lambda i: i)), 1), 1)], chr(10) || chr(10)) AS text FROM (SELECT row_id, ps, list_transform(ps, lambda p: {_JUNK}) AS js FROM (SELECT row_id, {_PARAS} AS ps FROM articles))")
 of_articles("q_relevant_paragraphs", lambda: {"text": X.relevant_paragraphs(c("content"), c("title"), sep="\n")}, heavy=True)
 of_articles("q_clean_article", lambda: {"text": X.clean_article(c("content"), c("language"), c("title"))}, heavy=True)
 of_articles("q_built_article", lambda: {"text": X.built_article(c("content"), c("language"))}, heavy=True)
 of_articles("q_highlights", lambda: {"highlights": F.array_join(X.highlights(c("content")), "\n")}, heavy=True)
-of_articles("q_chunks", lambda: {"n_chunks": F.size(X.chunks(c("content"))), "longest": F.coalesce(F.array_max(F.transform(X.chunks(c("content")), X.word_count)), F.lit(0))}, heavy=True)
+of_articles("q_chunks", lambda: {"chunks": F.array_join(X.chunks(c("content")), "\n\n")}, heavy=True)
 of_articles("q_best_source", lambda: {"text": X.best_source(c("title"), c("description"), c("content"))}, heavy=True)
 of_articles("q_raw_fallback", lambda: {"text": X.raw_fallback(c("title"), c("description"), c("content"), c("language"))}, heavy=True)
 
@@ -202,12 +206,26 @@ def q_smart_filter(spark: SparkSession, d: str) -> DataFrame:
     return feed.smart_filter(_articles(spark, d), F.lit(AS_OF).cast("timestamp")).select("row_id")
 
 
-@query()
+_TOP = f"""
+WITH kept AS ({_GREEDY}),
+scored AS (SELECT a.row_id, {ID} AS article_id, a.title, a.source, ca.category, CASE WHEN p > n THEN 'Positive' WHEN p < n THEN 'Negative' ELSE 'Neutral' END AS sentiment, CAST(greatest(38, least(99, 60 + 5 * p - 4 * n)) AS INTEGER) AS score, coalesce(a.language, '') = 'te' AS lang_te, lower(ca.category) AS cat
+  FROM articles a JOIN kept USING (row_id) JOIN ({SENTIMENT}) s USING (row_id) JOIN ({CATEGORY}) ca USING (row_id)),
+pooled AS (SELECT *, ('0x' || substr(article_id, 1, 8))::BIGINT AS i, {POOL} AS pool FROM scored)
+SELECT row_id, article_id, title, source, category, sentiment, score, [pool[i % len(pool) + 1], pool[(i + 1) % len(pool) + 1], CASE WHEN lang_te THEN {q(L.LIVE_TAG['te'])} ELSE {q(L.LIVE_TAG['en'])} END] AS tags FROM pooled ORDER BY score DESC, row_id LIMIT 30
+"""
+
+
+@query(_TOP)
 def q_feed_top30(spark: SparkSession, d: str) -> DataFrame:
     kept = feed.smart_filter(_articles(spark, d), F.lit(AS_OF).cast("timestamp"))
     return feed.ranked(feed.scored(kept)).limit(30).select("row_id", "article_id", "title", "source", "category", "sentiment", "score", "tags")
 
 
+@query(f"SELECT count(*) AS total, (SELECT count(*) FROM ({_GREEDY})) AS kept, count(*) - (SELECT count(*) FROM ({_GREEDY})) AS dropped FROM articles")
+def q_kept_counts(spark: SparkSession, d: str) -> DataFrame:
+    return feed.kept_counts(_articles(spark, d), F.lit(AS_OF).cast("timestamp"))
+
+
 @query("SELECT row_id, score FROM articles ORDER BY coalesce(score, 0) DESC, row_id LIMIT 30")
 def q_rank_top30(spark: SparkSession, d: str) -> DataFrame:
     return feed.ranked(_articles(spark, d)).limit(30).select("row_id", "score")
@@ -228,6 +246,12 @@ def q_search_cached(spark: SparkSession, d: str) -> DataFrame:
     return feed.search_cached(_articles(spark, d), "Release", "en", "entertainment").select("row_id")
 
 
+@query("WITH hits AS (SELECT row_id FROM articles WHERE language = 'en' AND contains(lower(coalesce(title, '') || ' ' || coalesce(description, '')), 'nowhere said')), rest AS (SELECT row_id FROM articles WHERE contains(lower(coalesce(title, '')), 'trial') OR contains(lower(coalesce(description, '')), 'trial')) SELECT row_id FROM hits UNION ALL SELECT row_id FROM rest WHERE NOT EXISTS (SELECT 1 FROM hits)")
+def q_search_fallback(spark: SparkSession, d: str) -> DataFrame:
+    rows = _articles(spark, d).select("row_id", "title", "description", "language", "category")
+    return feed.or_else(feed.search_cached(rows, "nowhere said", "en"), feed.search(rows, "trial")).select("row_id")
+
+
 @query("SELECT row_id FROM articles WHERE category = 'sports' AND language = 'te' UNION ALL SELECT row_id FROM articles WHERE category = 'sports' AND language = 'en' AND NOT EXISTS (SELECT 1 FROM articles WHERE category = 'sports' AND language = 'te')")
 def q_language_fallback(spark: SparkSession, d: str) -> DataFrame:
     return feed.with_fallback(_articles(spark, d), "sports", "te").select("row_id")
@@ -248,6 +272,30 @@ def q_cascade(spark: SparkSession, d: str) -> DataFrame:
 # --- stores -----------------------------------------------------------------------------------------------------------
 
 
+_STATES = rf"""
+WITH latest AS (SELECT article_id, {s_strip("CASE WHEN json_valid(data) THEN json_extract_string(data, '$.content') END")} AS cached FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY cached_at DESC NULLS LAST, cache_id DESC) AS n FROM ai_cache WHERE article_id IS NOT NULL) WHERE n = 1)
+SELECT row_id, CASE WHEN coalesce(cached, '') = '' THEN 'miss' WHEN {s_count('cached')} < CASE WHEN coalesce(language, '') = 'te' THEN 80 ELSE %d END THEN 'short'
+  WHEN %s AND NOT CASE WHEN coalesce(title, '') = '' THEN true ELSE len(list_filter(regexp_extract_all(lower(title), '[a-z\x{{0c00}}-\x{{0c7f}}]{{4,}}'), lambda w: contains(lower(cached), w))) >= 1 END THEN 'mismatch' ELSE 'hit' END AS state
+FROM articles LEFT JOIN latest USING (article_id)
+"""
+
+
+@query(_STATES.replace("%d", "280").replace("%s", "true"))
+def q_reader_state(spark: SparkSession, d: str) -> DataFrame:
+    return reader.cache_states(_articles(spark, d), table(spark, d, "ai_cache")).select("row_id", "state")
+
+
+@query(_STATES.replace("%d", "300").replace("%s", "false"))
+def q_bundle_state(spark: SparkSession, d: str) -> DataFrame:
+    return reader.cache_states(_articles(spark, d), table(spark, d, "ai_cache"), reader.BUNDLE_WORDS, match_title=False).select("row_id", "state")
+
+
+@query()
+def q_reader_texts(spark: SparkSession, d: str) -> DataFrame:
+    states = reader.cache_states(spread(_articles(spark, d)), table(spark, d, "ai_cache"))
+    return reader.reader_texts(states.withColumn("scraped", F.lit(None).cast("string"))).select("row_id", "text", "from_cache", "saved")
+
+
 @query("SELECT article_id, cache_id, word_count FROM (SELECT *, row_number() OVER (PARTITION BY article_id ORDER BY cached_at DESC NULLS LAST, cache_id DESC) AS n FROM (SELECT DISTINCT article_id, cache_id, word_count, cached_at FROM ai_cache)) WHERE n = 1")
 def q_cache_upsert(spark: SparkSession, d: str) -> DataFrame:
     return store.upserted(table(spark, d, "ai_cache").select("article_id", "cached_at", "cache_id", "word_count"), ["article_id"], "cached_at").select("article_id", "cache_id", "word_count")
@@ -319,7 +367,7 @@ def q_metrics(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY floor(epoch_us(ts) / 1000000) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n FROM events")
 def q_rate(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events")
-    return rows.select("event_id", streams.calls_within(rows, "ts", 3600, ["user_id"]).alias("n"))
+    return streams.calls_within(rows, "ts", 3600, ["user_id"]).select("event_id", "n")
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
@@ -354,6 +402,14 @@ def q_rss_scan(spark: SparkSession, d: str) -> DataFrame:
     return feeds.rss_articles(_rendered(spark, d, item, "", "<rss><channel>", "</channel></rss>"), "general", "en")
 
 
+@query()
+def q_publisher_scan(spark: SparkSession, d: str) -> DataFrame:
+    item = F.concat(F.lit("<item><title>"), _xml(c("title")), F.lit("</title><link>"), _xml(c("url")), F.lit("</link><description>"), _xml(c("description")), F.lit("</description><source>"), _xml(c("source")), F.lit("</source></item>"))
+    documents = _rendered(spark, d, item, "", "<rss><channel>", "</channel></rss>")
+    part = F.pmod(F.xxhash64("path"), F.lit(3))
+    return feeds.publisher_articles([documents.filter("path = '0'"), documents.filter("path = '1'")], documents.filter(part == 1), documents.filter(part == 2), "sakshi", "te").select("path", "item_no", "article_id", "title", "tags")
+
+
 @query()
 def q_json_scan(spark: SparkSession, d: str) -> DataFrame:
     item = F.to_json(F.struct("title", "description", "content", "url", c("image_url").alias("image"), c("published_at").alias("publishedAt"), F.struct(c("source").alias("name")).alias("source")))
@@ -382,9 +438,9 @@ def q_host_language(spark: SparkSession, d: str) -> DataFrame:
     return _articles(spark, d).select("row_id", pages.language_of_host(c("url")).alias("language"))
 
 
-@query("SELECT row_id, length(coalesce(content, '')) AS n_chars FROM articles")
+@query("SELECT row_id, coalesce(content, '') AS text FROM articles")
 def q_decoded(spark: SparkSession, d: str) -> DataFrame:
-    return _articles(spark, d).select("row_id", F.length(pages.decoded(X.text(c("content")).cast("binary"), F.lit("text/html; charset=utf-8"))).cast("bigint").alias("n_chars"))
+    return _articles(spark, d).select("row_id", pages.decoded(X.text(c("content")).cast("binary"), F.lit("text/html; charset=utf-8")).alias("text"))
 
 
 @query()

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skeinfeed.functions import lexicon as L
 from skeinfeed.functions import text as X
+from skeinfeed.operators.dedup import cascade
 
 # Items read of a feed, categories of the JSON interface, topics of the topic feeds.
 MOST_ITEMS = 30
@@ -62,3 +64,29 @@ def json_address(base: str, category: Column, language: Column, term: Column, ke
 
 def topic_of(category: Column) -> Column:
     return F.when(F.lower(category).isin(*TOPICS), F.upper(category)).otherwise("WORLD")
+
+
+def news_address(base: str, category: Column, language: Column, term: Column) -> Column:
+    """The address of a news feed: search by term, else the topic of a category (in English whatever the language), else the front page."""
+    te = X.text(language) == "te"
+    own = F.when(te, "hl=te&gl=IN&ceid=IN:te").otherwise("hl=en-IN&gl=IN&ceid=IN:en")
+    plain = F.lower(X.text(category)).isin("general", *L.PUBLISHERS)
+    topic = F.concat(F.lit(f"{base}/headlines/section/topic/"), topic_of(category), F.lit("?hl=en-IN&gl=IN&ceid=IN:en"))
+    return F.when(X.text(term) != "", F.concat(F.lit(f"{base}/search?q="), F.url_encode(term), F.lit("&"), own)).when(plain, F.concat(F.lit(f"{base}?"), own)).otherwise(topic)
+
+
+def topic_articles(feeds: DataFrame, category: str, language: str) -> DataFrame:
+    """Articles of topic and search feeds, labelled with the language asked for, whatever language they came in."""
+    return rss_articles(feeds, category, language)
+
+
+def publisher_articles(direct: list[DataFrame], search: DataFrame, general: DataFrame, category: str, language: str) -> DataFrame:
+    """Articles of one publisher: its own feeds in order until ten are found, else a search limited to the publisher too, and
+    the general feed below five; the first sighting of an article stays. Each feed is documents (path, value)."""
+    tiers = [rss_articles(f, category, language) for f in direct] + [rss_articles(search, category, language, publisher=category), rss_articles(general, category, language)]
+    rows = None
+    for n, tier in enumerate(tiers, 1):
+        numbered = tier.withColumn("_tier", F.lit(n))
+        rows = numbered if rows is None else rows.unionByName(numbered)
+    quotas = {n: 10 for n in range(2, len(direct) + 2)} | {len(direct) + 2: 5}
+    return cascade(rows, [], "_tier", quotas, "article_id", ["path", "item_no"]).drop("_tier")
