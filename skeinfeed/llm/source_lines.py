@@ -79,7 +79,9 @@ class LineCounts:
         """rows as the version of a table; members and triples in the buckets of their documents."""
         to = f"{self.path}/{kind}/v={version}"
         bucketed = "bucket" in rows.columns
-        writer = (rows.repartition("bucket") if bucketed else rows).write.mode("overwrite")
+        # a bucket is written by as many tasks as its share of the partitions, each of its own documents
+        parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS + 1)
+        writer = (rows.repartition(F.col("bucket"), F.pmod(F.col("doc_b"), F.lit(parts))) if bucketed else rows).write.mode("overwrite")
         (writer.partitionBy("bucket") if bucketed else writer).parquet(to)
         return self.spark.read.schema(rows.schema).parquet(to)
 
