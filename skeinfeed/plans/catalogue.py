@@ -367,7 +367,7 @@ def q_metrics(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY floor(epoch_us(ts) / 1000000) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS n FROM events")
 def q_rate(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events")
-    return streams.calls_within(rows, "ts", 3600, ["user_id"]).select("event_id", "n")
+    return streams.call_counts(rows, "ts", 3600, ["user_id"]).select("event_id", "n")
 
 
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skeinfeed.session import shared_dir
@@ -23,7 +23,13 @@ def run_available(spark: SparkSession, stream: DataFrame, name: str) -> DataFram
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def calls_within(rows: DataFrame, at: str, seconds: int = 60, by: list[str] | None = None, out: str = "n") -> DataFrame:
+def calls_within(rows: DataFrame, at: str, seconds: int = 60, by: list[str] | None = None) -> Column:
+    """How many rows (of the same `by`) lie within the last `seconds` up to each row, as a column; for hot keys see call_counts()."""
+    order = Window.partitionBy(*(by or [])).orderBy(F.unix_seconds(F.col(at).cast("timestamp"))).rangeBetween(-seconds, 0)
+    return F.count("*").over(order)
+
+
+def call_counts(rows: DataFrame, at: str, seconds: int = 60, by: list[str] | None = None, out: str = "n") -> DataFrame:
     """`rows` with how many rows (of the same `by`) lie within the last `seconds` up to each row. Null times count as one time.
 
     Each row stands in the stretch of time it lies in and in the next, so that a count needs one stretch only: a hot key

@@ -9,7 +9,7 @@ from skeinfeed.operators.instants import normalised_instants
 from skeinfeed.operators.store import ensured, feed_put
 from skeinfeed.sources.feeds import publisher_articles
 from skeinfeed.sources.pages import decoded, extracted
-from skeinfeed.streaming.dedup import calls_within, expiring, run_available
+from skeinfeed.streaming.dedup import call_counts, expiring, run_available
 
 BODY = " ".join(f"Cricket word{i} is here." for i in range(120))
 ARTICLES = "row_id long, article_id string, title string, description string, content string, language string"
@@ -117,7 +117,7 @@ def test_counts_within_and_expiry(spark, tmp_path):
     df = spark.createDataFrame(rows, "i int, u string, at string")
     seconds = lambda t: int(t[11:13]) * 3600 + int(t[14:16]) * 60
     want = {i: sum(v == u and 0 <= seconds(t) - seconds(s) <= 600 for _, v, s in rows) for i, u, t in rows}
-    assert {r["i"]: r["n"] for r in calls_within(df, "at", 600, ["u"]).collect()} == want
+    assert {r["i"]: r["n"] for r in call_counts(df, "at", 600, ["u"]).collect()} == want
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = expiring(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "u", "at", 60)
     got = {(r["u"], r["at"]): r["i"] for r in run_available(spark, stream, "expiring").collect()}
